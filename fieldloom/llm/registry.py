@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import mixing, sharding
+from fieldloom.llm import mixing, quality, secrets, sharding
 from fieldloom.session import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -19,7 +27,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_shards": op4_shards, "op5_mix": op5_mix}
+    return {
+        "op1_quality": op1_quality,
+        "op3_secrets": op3_secrets,
+        "op4_shards": op4_shards,
+        "op5_mix": op5_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
