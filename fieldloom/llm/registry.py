@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import mixing, quality, secrets, sharding
+from fieldloom.llm import mixing, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -26,12 +27,23 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
+    return urlrules.judge(table(spark, sf_dir, "pages"), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op3_secrets": op3_secrets,
         "op4_shards": op4_shards,
         "op5_mix": op5_mix,
+        "op7_warc": op7_warc,
+        "op10_urls": op10_urls,
     }
 
 
