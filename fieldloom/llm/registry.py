@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, mixing, quality, secrets, sharding, urlrules, warc
+from fieldloom.llm import ann, mixing, neardup, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -35,6 +35,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
     return urlrules.judge(table(spark, sf_dir, "pages"), labels)
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_shards": op4_shards,
         "op5_mix": op5_mix,
         "op7_warc": op7_warc,
+        "op8_neardup": op8_neardup,
         "op10_urls": op10_urls,
     }
 
