@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, mixing, neardup, quality, secrets, sharding, urlrules, warc
+from fieldloom.llm import ann, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -31,6 +31,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_shards": op4_shards,
         "op5_mix": op5_mix,
+        "op6_pieces": op6_pieces,
         "op7_warc": op7_warc,
         "op8_neardup": op8_neardup,
         "op10_urls": op10_urls,
