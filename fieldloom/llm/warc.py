@@ -37,6 +37,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import bounded_broadcast
 from fieldloom.llm.sharding import prefix_sums
 from fieldloom.session import materialise, new_path, remove
 
@@ -44,6 +45,8 @@ REVISIT = 100
 ROLL = 256 << 20
 RANGE_BYTES = 256 << 20
 LEAST_RANGES = 24
+#: Digests of repeated payloads that are broadcast; more are joined by shuffling.
+SHARED_BROADCAST = 200_000
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard bigint, seq int, temp string, name string, records bigint, bytes bigint, sha256 string"
@@ -103,6 +106,7 @@ def described(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
     shared = base.filter(F.col("payload_bytes") >= REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = bounded_broadcast(materialise(shared, "warc-shared"), SHARED_BROADCAST)  # payloads then aren't shuffled for it
     refers = F.when((F.col("payload_bytes") >= REVISIT) & (F.col("page_id") > F.col("head")), F.col("head"))
     return base.join(shared, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -214,7 +218,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     ddl = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
-    return manifest.select("name").repartition("name").mapInArrow(load, ddl)
+    return manifest.select("name").repartition(max(1, manifest.count())).mapInArrow(load, ddl)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
