@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
+from fieldloom.llm import ann, lm, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -43,6 +43,10 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("block"))
     return urlrules.judge(table(spark, sf_dir, "pages"), labels)
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pieces": op6_pieces,
         "op7_warc": op7_warc,
         "op8_neardup": op8_neardup,
+        "op9_lm": op9_lm,
         "op10_urls": op10_urls,
     }
 
