@@ -9,10 +9,10 @@ or more are links, and classes are the components of links.
    in which they stand there; equal picks in equal order collide. At similarity 0.8 two texts miss each other in
    all sketches with a probability of about 5e-6; texts that share a passage of a third of their length hardly ever collide.
    Texts of up to `SHORT` shingles also have `SHORT_SKETCHES` sketches of two picks.
-3. In a bucket, everything is compared with its smallest node: as many pairs as members. Members that link to it are
-   connected, and need no comparison with each other. For the rest, shingle distances to that pivot
-   bound all other distances (both are metrics): only pairs whose distances differ by at most 0.2, of fitting
-   lengths, and not both linked already, are compared as well. No other pair can be a link.
+3. In a bucket, everything is compared with a pivot: as many pairs as members. The pivot is the member with the most company in
+   all its buckets, the middle of a group of near copies. Components of these links need no comparison inside. Members of a pivot in
+   different components are compared as well if their differences from the pivot meet where any link has to
+   (see difference()): texts that share but a passage never meet, near copies only if they share edits.
 4. A comparison first bounds the similarity by the shared multiset of shingles, then aligns within the band that
    0.8 leaves (bit-parallel over the band).
 
@@ -188,43 +188,87 @@ def _sequences_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "id bigint, seq binary").dropDuplicates(["id"])
 
 
+def difference(z: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """Of the difference between x and its pivot z: the part that a text which links to x, but not through z, must share.
+
+    Shingles that x adds come first, then those of z that it lacks. Let w be lacks + 0.8 * adds (at the threshold 0.8). Two members x, y
+    reach it only if their differences share (w(x) + w(y) - 0.2 * |z|) / 1.8 shingles. One of them doesn't link to z, which
+    means w > 0.2 * |z|; and y is at most 0.2 nearer to z than x is, which bounds w(y) from below as well. That leaves each
+    member a least number t of shared shingles, and by the prefix principle two differences that share t have one in
+    common among the first size - t + 1 in any fixed order.
+
+    If both add at least as many as they lack (replaced or inserted words), inserting that into the bound shows that they share an
+    addition. So what members lack, which is common where edits are many, matters only to pairs with a member that lacks
+    more than it adds: the third value. The second is how many of the first are additions.
+    """
+    bounds = [np.array([0, len(s)]) for s in (z, x)]
+    z, x = labelled(z, bounds[0]), labelled(x, bounds[1])
+    adds, lacks = np.sort(np.setdiff1d(x, z)), np.sort(np.setdiff1d(z, x))
+    w, room = len(lacks) + SIMILAR * len(adds), (1 - SIMILAR) * len(z)
+    nearest = min(1.0, (len(z) - len(lacks)) / (len(z) + len(adds)) + 1 - SIMILAR)
+    other = (1 - nearest) * len(z) * min(1.0, SIMILAR / nearest)
+    t = max(1, int(np.ceil((w + max(other, room if w <= room else 0) - room) / (1 + SIMILAR) - 1e-9)))
+    with np.errstate(over="ignore"):
+        part = np.concatenate([adds, mix(lacks + np.uint64(5))])[: max(0, len(adds) + len(lacks) - t + 1)]
+    return part, min(len(adds), len(part)), len(lacks) > len(adds)
+
+
 def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """pairs(a, b) with shared and similar."""
+    """pairs(a, b, many) with shared, similar and (if many) the difference of b from its pivot a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [aligned(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b["x"], b["y"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array([s for s, _ in got], pa.float64()), pa.array([s for _, s in got], pa.float64())], ["a", "b", "shared", "similar"])
+            shared, similar, parts = [], [], []
+            for x, y, many in zip(b["x"], b["y"], b["many"].to_pylist(), strict=True):
+                z, own = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                got = aligned(z, own)
+                shared.append(got[0])
+                similar.append(got[1])
+                part, adds, loose = difference(z, own) if many else (None, None, None)
+                parts.append((None if part is None else part.view(np.int64), adds, loose))
+            lists = [pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.list_(pa.int64()), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(shared, pa.float64()), pa.array(similar, pa.float64()), *lists], ["a", "b", "shared", "similar", "part", "adds", "loose"])
 
     both = pairs.join(seqs.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b").join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, shared double, similar double")
+    return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, part array<bigint>, adds int, loose boolean")
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b, similar): links between nodes, enough of them to connect every class."""
+def connected(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, class) of all nodes with links."""
     nodes = sketches.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = sketches.join(nodes, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("picks").alias("key"))
-    pivots = reps.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = materialise(reps.join(pivots, "key").filter("id <> pivot").select("key", "pivot", "id", "n"), "dup-members")
-    first = members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    reps = sketches.join(nodes, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("picks").alias("key"))
+    full = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    members = materialise(reps.join(full, "key"), "dup-members")
+    # the pivot of a bucket is the member with the most company in all buckets: the middle of a group of near copies
+    company = members.groupBy("id").agg(F.sum("c").alias("company"))
+    pivots = members.join(company, "id").groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot"))
+    seen = members.join(pivots, "key").filter("id <> pivot")
+    first = materialise(seen.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg((F.max("c") > 2).alias("many")), "dup-pairs")
     ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     seqs = materialise(_sequences_of(docs, ids), "dup-sequences")
     told = materialise(compared(first, seqs), "dup-first")
-    # what the pivots leave open
-    seen = members.join(told.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "shared", (F.col("similar") >= SIMILAR).alias("linked")), ["pivot", "id"])
-    open_keys = seen.groupBy("key").agg(F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("all")).filter("open > 0 and all > 1").select("key")
-    left = seen.join(open_keys, "key", "left_semi").select("key", "id", "n", "shared", "linked")
-    right = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "shared", "linked")])
-    fits = (F.col("id") < F.col("id2")) & ~(F.col("linked") & F.col("linked2")) & (F.abs(F.col("shared") - F.col("shared2")) <= 1 - SIMILAR + 1e-9) & (F.least("n", "n2") >= F.greatest("n", "n2") * SIMILAR)
-    rest = left.join(right, "key").filter(fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    more = compared(rest, seqs)
-    return told.unionByName(more).filter(F.col("similar") >= SIMILAR).select("a", "b", "similar")
+    stars = components(told.filter(F.col("similar") >= SIMILAR))
+    # what the pivots leave open: members of one pivot that aren't connected yet and whose differences from it meet
+    known = told.filter("part is not null").join(stars, F.col("b") == F.col("node"), "left")
+    known = known.select("a", F.col("b").alias("id"), F.coalesce("class", "b").alias("class"), "part", "adds", "loose", ((F.col("shared") >= SIMILAR) & (F.col("similar") < SIMILAR)).alias("turned"))
+    apart = known.groupBy("a").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("loose").alias("any_loose")).filter("x <> y").select("a", "any_loose")
+    known = known.join(apart, "a")
+    items = F.when(F.col("any_loose"), F.col("part")).otherwise(F.slice("part", F.lit(1), F.col("adds")))
+    left = known.select("a", "id", "class", "adds", "loose", F.posexplode(items).alias("at", "item")).select("a", "id", "class", "item", "loose", (F.col("at") >= F.col("adds")).alias("lack"))
+    right = left.select("a", "item", F.col("id").alias("id2"), F.col("class").alias("class2"), F.col("loose").alias("loose2"))
+    meet = (F.col("id") < F.col("id2")) & (F.col("class") != F.col("class2")) & (~F.col("lack") | F.col("loose") | F.col("loose2"))
+    rest = left.join(right, ["a", "item"]).filter(meet).select("id", "id2").distinct()
+    # members with the pivot's shingles in another order: their differences say nothing
+    turned = known.filter("turned").select("a", "id", "class").join(known.select("a", F.col("id").alias("id2"), F.col("class").alias("class2")), "a").filter(F.col("class") != F.col("class2"))
+    rest = rest.unionByName(turned.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))).distinct()
+    more = compared(rest.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.lit(False).alias("many")), seqs).filter(F.col("similar") >= SIMILAR)
+    return components(more.select("a", "b").unionByName(stars.select(F.col("node").alias("a"), F.col("class").alias("b"))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), copy_of (smallest doc_id of its text)."""
     sketches = materialise(sketched(docs), "dup-sketches")
-    linked = components(links(docs, sketches))
+    linked = connected(docs, sketches)
     nodes = sketches.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
     nodes = nodes.join(linked, nodes["copy_of"] == linked["node"], "left").select("digest", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
     rows = sketches.select("doc_id", "digest").join(nodes, "digest", "left")
