@@ -136,3 +136,33 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16
         key, "size", "source", "source_size", "target", (F.col("rounds") * F.col("size") + head + tail).alias("taken"), "rounds",
         F.lit(0).cast("long").alias("from1"), tail.alias("to1"), clip(F.col("begin")).alias("from2"), (clip(F.col("begin")) + head).alias("to2"), "at", *(extra or []),
     )
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as the mix takes it.
+
+    A document of which the run's ends take a part is cut to the words taken (each with the white space after it). Cut texts are a few for
+    each source; all others stay as they are. `n_chars` is counted anew if docs has it. Texts are joined with their shares by
+    doc_id, source and a hash of the text; rows that are alike in these share alike.
+    """
+    columns = docs.columns
+    told = mix(docs.withColumn("text_hash", F.xxhash64("text")), seed, block_words, shards, extra=["text_hash"])
+    # rows that are alike in key, source and text are numbered on both sides; most aren't repeated
+    same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("at")
+    told = materialise(told.filter("taken > 0").withColumn("copy", F.row_number().over(same)).select("doc_id", "source", "text_hash", "copy", "size", "rounds", "from1", "to1", "from2", "to2"), "mix-shares")
+    shares = told.groupBy("doc_id", "source", "text_hash").agg(F.collect_list(F.struct("copy", "size", "rounds", "from1", "to1", "from2", "to2")).alias("shares"))
+    one = docs.dropDuplicates(["doc_id", "source", "text"]) if told.filter("copy > 1").limit(1).count() else docs
+    s = shares.select(F.col("doc_id").alias("s_id"), F.col("source").alias("s_source"), F.col("text_hash").alias("s_hash"), "shares")
+    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & F.col("source").eqNullSafe(F.col("s_source")) & (F.xxhash64("text") == F.col("s_hash"))
+    j = one.join(s, on).select(*columns, F.explode("shares").alias("share"))
+    part = lambda a, b: F.struct(F.col(f"share.{a}").alias("a"), F.col(f"share.{b}").alias("b"))
+    whole = F.transform(F.sequence(F.lit(1), F.col("share.rounds")), lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.col("share.size").alias("b")))
+    parts = F.concat(F.when(F.col("share.rounds") > 0, whole).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")), F.filter(F.array(part("from1", "to1"), part("from2", "to2")), lambda p: p["b"] > p["a"]))
+    j = j.withColumn("part", F.explode(parts))
+    pieces = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, (F.col("part.a") + 1).cast("int"), (F.col("part.b") - F.col("part.a")).cast("int")), "")
+    text = F.when((F.col("part.a") == 0) & (F.col("part.b") == F.col("share.size")), F.col("text")).otherwise(cut)
+    out = j.withColumn("text", text)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)

@@ -263,19 +263,19 @@ class Transducer:
 _workers: dict[int, Transducer] = {}
 
 
-def encoded(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (array<int>), n_ids, round_trip (whether decoding gives the text back)."""
+def encoded(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns `keep`, ids (array<int>), n_ids, round_trip (whether decoding gives the text back)."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(Transducer(Model.load(path)))  # at most MOST pieces
     name = hash((path, id(shipped)))
-    id_type = docs.schema[key].dataType.simpleString()
+    own_ddl = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate((key, *keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _workers.setdefault(name, shipped.value)  # one for a worker, with its cache
         for b in batches:
             ids: list[np.ndarray | None] = []
             same: list[bool | None] = []
-            for x in b.column(1):
+            for x in b.column(b.num_columns - 1):
                 if (s := x.as_py()) is None:
                     ids.append(None)
                     same.append(None)
@@ -288,9 +288,10 @@ def encoded(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str =
             offsets = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array(lengths < 0))
             n = pa.array(np.maximum(lengths, 0), pa.int64(), mask=lengths < 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, n, pa.array(same, pa.bool_())], ["k", "ids", "n_ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, n, pa.array(same, pa.bool_())], [*[f"c{i}" for i in range(b.num_columns - 1)], "ids", "n_ids", "round_trip"])
 
-    return docs.select(key, text).mapInArrow(run, f"k {id_type}, ids array<int>, n_ids bigint, round_trip boolean").withColumnRenamed("k", key)
+    out = docs.select(key, *keep, text).mapInArrow(run, f"{own_ddl}, ids array<int>, n_ids bigint, round_trip boolean")
+    return out.toDF(key, *keep, "ids", "n_ids", "round_trip")
 
 
 def decoded(coded: DataFrame, path: str = MODEL, key: str = "doc_id") -> DataFrame:
