@@ -173,20 +173,20 @@ def f02_no_case(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").filter(F.lower("c_mktsegment") == "MACHINERY".lower()).select("c_custkey")
 
 
-@query("""SELECT p_partkey, p_name, p_type FROM part WHERE p_type ILIKE '%steel%' OR p_name ILIKE '%steel%' ORDER BY p_name, p_partkey LIMIT 5""")
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE p_type ILIKE '%ring%' OR p_name ILIKE '%ring%' ORDER BY p_name, p_partkey LIMIT 5""")
 def f03_search(s: SparkSession, d: str) -> DataFrame:
-    hits = relational.search(table(s, d, "part").withColumn("k", F.struct("p_name", "p_partkey")), "sTEEL", ["p_type", "p_name"], 5, "k")
+    hits = relational.search(table(s, d, "part").withColumn("k", F.struct("p_name", "p_partkey")), "rING", ["p_type", "p_name"], 5, "k")
     return hits.select("p_partkey", "p_name", "p_type")
 
 
-@query("""SELECT p_partkey, p_type FROM part WHERE (p_type ILIKE '%br%s%' OR p_brand ILIKE '%br%s%') AND p_size < 10 ORDER BY p_partkey LIMIT 8""")
+@query("""SELECT p_partkey, p_type FROM part WHERE (p_type ILIKE '%br%1%' OR p_brand ILIKE '%br%1%') AND p_size < 10 ORDER BY p_partkey LIMIT 8""")
 def f04_scoped_search(s: SparkSession, d: str) -> DataFrame:
-    return relational.search(table(s, d, "part"), "br%s", ["p_type", "p_brand"], 8, "p_partkey", F.col("p_size") < 10).select("p_partkey", "p_type")
+    return relational.search(table(s, d, "part"), "br%1", ["p_type", "p_brand"], 8, "p_partkey", F.col("p_size") < 10).select("p_partkey", "p_type")
 
 
-@query("""SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 1000 AND 1500""")
+@query("""SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 910 AND 950""")
 def f05_box(s: SparkSession, d: str) -> DataFrame:
-    return relational.box(table(s, d, "part"), "p_size", "p_retailprice", 10, 20, 1000, 1500).select("p_partkey")
+    return relational.box(table(s, d, "part"), "p_size", "p_retailprice", 10, 20, 910, 950).select("p_partkey")
 
 
 @query("""SELECT doc_id, quality IS NULL AS unknown FROM (SELECT doc_id, nullif(quality, 1) AS quality FROM labels)""")
@@ -365,9 +365,9 @@ def w13_first_per_identity(s: SparkSession, d: str) -> DataFrame:
     return windows.first_per_identity(e, ["k", "event_type"], "event_id").select("event_id")
 
 
-@query(f"""SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, CAST(min(at) AS INTEGER) AS first_at, CAST(max(at) AS INTEGER) AS last_at, count(*) AS length FROM
+@query(f"""SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, CAST(min(pos) AS INTEGER) AS first_at, CAST(max(pos) AS INTEGER) AS last_at, count(*) AS length FROM
            (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM
-           (SELECT *, row_number() OVER w AS at, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))) GROUP BY user_id, run""")
+           (SELECT *, row_number() OVER w AS pos, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))) GROUP BY user_id, run""")
 def w03_islands(s: SparkSession, d: str) -> DataFrame:
     return windows.islands(events(s, d), ["user_id"], ["t", "event_id"], "event_type")
 
