@@ -12,7 +12,7 @@ or more are links, and classes are the components of links.
 3. In a bucket, everything is compared with a pivot: as many pairs as members. The pivot is the member with the most company in
    all its buckets, the middle of a group of near copies. Components of these links need no comparison inside. Members of a pivot in
    different components are compared as well if their differences from the pivot meet where any link has to
-   (see difference()): texts that share but a passage never meet, near copies only if they share edits.
+   (see meetings()): texts that share but a passage never meet, near copies only if they share edits.
 4. A comparison first bounds the similarity by the shared multiset of shingles, then aligns within the band that
    0.8 leaves (bit-parallel over the band).
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import TextGroup, WordGroup, bounded_broadcast, mix, shingles, text_groups, words
@@ -188,33 +188,16 @@ def _sequences_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "id bigint, seq binary").dropDuplicates(["id"])
 
 
-def difference(z: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """Of the difference between x and its pivot z: the part that a text which links to x, but not through z, must share.
-
-    Shingles that x adds come first, then those of z that it lacks. Let w be lacks + 0.8 * adds (at the threshold 0.8). Two members x, y
-    reach it only if their differences share (w(x) + w(y) - 0.2 * |z|) / 1.8 shingles. One of them doesn't link to z, which
-    means w > 0.2 * |z|; and y is at most 0.2 nearer to z than x is, which bounds w(y) from below as well. That leaves each
-    member a least number t of shared shingles, and by the prefix principle two differences that share t have one in
-    common among the first size - t + 1 in any fixed order.
-
-    If both add at least as many as they lack (replaced or inserted words), inserting that into the bound shows that they share an
-    addition. So what members lack, which is common where edits are many, matters only to pairs with a member that lacks
-    more than it adds: the third value. The second is how many of the first are additions.
-    """
+def difference(z: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What x adds to its pivot z and what it lacks of it, as labelled shingles (lacks are hashed again, so both can stand in one list)."""
     bounds = [np.array([0, len(s)]) for s in (z, x)]
     z, x = labelled(z, bounds[0]), labelled(x, bounds[1])
-    adds, lacks = np.sort(np.setdiff1d(x, z)), np.sort(np.setdiff1d(z, x))
-    w, room = len(lacks) + SIMILAR * len(adds), (1 - SIMILAR) * len(z)
-    nearest = min(1.0, (len(z) - len(lacks)) / (len(z) + len(adds)) + 1 - SIMILAR)
-    other = (1 - nearest) * len(z) * min(1.0, SIMILAR / nearest)
-    t = max(1, int(np.ceil((w + max(other, room if w <= room else 0) - room) / (1 + SIMILAR) - 1e-9)))
     with np.errstate(over="ignore"):
-        part = np.concatenate([adds, mix(lacks + np.uint64(5))])[: max(0, len(adds) + len(lacks) - t + 1)]
-    return part, min(len(adds), len(part)), len(lacks) > len(adds)
+        return np.setdiff1d(x, z), mix(np.setdiff1d(z, x) + np.uint64(5))
 
 
 def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """pairs(a, b, many) with shared, similar and (if many) the difference of b from its pivot a."""
+    """pairs(a, b, many) with shared, similar and (if many) the difference of b from its pivot a and the size of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,13 +207,42 @@ def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
                 got = aligned(z, own)
                 shared.append(got[0])
                 similar.append(got[1])
-                part, adds, loose = difference(z, own) if many else (None, None, None)
-                parts.append((None if part is None else part.view(np.int64), adds, loose))
-            lists = [pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.list_(pa.int64()), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(shared, pa.float64()), pa.array(similar, pa.float64()), *lists], ["a", "b", "shared", "similar", "part", "adds", "loose"])
+                parts.append((*(p.view(np.int64) for p in difference(z, own)), len(z)) if many else (None, None, None))
+            lists = [pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(shared, pa.float64()), pa.array(similar, pa.float64()), *lists], ["a", "b", "shared", "similar", "adds", "lacks", "pivot_n"])
 
     both = pairs.join(seqs.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b").join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
-    return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, part array<bigint>, adds int, loose boolean")
+    return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, adds array<bigint>, lacks array<bigint>, pivot_n bigint")
+
+
+def _ranked(known: DataFrame, items: F.Column) -> DataFrame:  # ty: ignore
+    """A row for each item that two members of a pivot have: `left` counts the member's items from this one on, rarest items first."""
+    each = known.select("a", "id", "class", "pivot_n", "n_adds", "n_lacks", "loose", F.explode(items).alias("item"))
+    often = each.groupBy("a", "item").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    on = Window.partitionBy("a", "id").orderBy(F.desc("often"), "item")
+    return each.join(often, ["a", "item"]).withColumn("left", F.row_number().over(on)).drop("often")
+
+
+def meetings(known: DataFrame) -> DataFrame:
+    """(id, id2): members of a pivot z in different classes that may be links, by their differences from z.
+
+    Let a, l be how many shingles a member adds to z and lacks of it, n the size of z. Then x and y have
+    n - |lacks of either| + |shared adds| shingles in common, and 0.8 asks for (|x| + |y|) / 2.25 of them. So they share
+    (5 (lx + ly) + 4 (ax + ay) - n) / 9 adds and lacks at least, and (4 (ax - lx + ay - ly) - n) / 9 + max(lx, ly) adds.
+    One of them doesn't link to z, which makes the first bound positive, and the second as well unless a member is loose (lacks
+    more than it adds). Items stand in one fixed order, rarest in the group first. The first one that two members share has at least as
+    many items from it on, in both, as they have to share: pairs meet only there.
+    """
+    other = lambda items: items.select("a", "item", *[F.col(c).alias(c + "2") for c in ("id", "class", "n_adds", "n_lacks", "loose", "left")])
+    grows = F.col("n_adds") - F.col("n_lacks") + F.col("n_adds2") - F.col("n_lacks2")
+    adds_needed = (grows * 4 - F.col("pivot_n")) / 9 + F.greatest("n_lacks", "n_lacks2")
+    all_needed = ((F.col("n_adds") + F.col("n_adds2")) * 4 + (F.col("n_lacks") + F.col("n_lacks2")) * 5 - F.col("pivot_n")) / 9
+    enough = lambda needed: (F.col("class") != F.col("class2")) & (F.least("left", "left2") >= needed - 1e-6)
+    firm = _ranked(known.filter("not loose"), F.col("adds"))
+    found = firm.join(other(firm), ["a", "item"]).filter((F.col("id") < F.col("id2")) & enough(adds_needed)).select("id", "id2")
+    some = _ranked(known.filter("any_loose"), F.concat("adds", "lacks"))
+    mixed = some.filter("loose").join(other(some), ["a", "item"]).filter((~F.col("loose2") | (F.col("id") < F.col("id2"))) & enough(all_needed))
+    return found.unionByName(mixed.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))).distinct()
 
 
 def connected(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -249,15 +261,13 @@ def connected(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     told = materialise(compared(first, seqs), "dup-first")
     stars = components(told.filter(F.col("similar") >= SIMILAR))
     # what the pivots leave open: members of one pivot that aren't connected yet and whose differences from it meet
-    known = told.filter("part is not null").join(stars, F.col("b") == F.col("node"), "left")
-    known = known.select("a", F.col("b").alias("id"), F.coalesce("class", "b").alias("class"), "part", "adds", "loose", ((F.col("shared") >= SIMILAR) & (F.col("similar") < SIMILAR)).alias("turned"))
+    known = told.filter("adds is not null").join(stars, F.col("b") == F.col("node"), "left")
+    turned = (F.col("shared") >= SIMILAR) & (F.col("similar") < SIMILAR)
+    known = known.select("a", F.col("b").alias("id"), F.coalesce("class", "b").alias("class"), "adds", "lacks", "pivot_n", F.size("adds").alias("n_adds"), F.size("lacks").alias("n_lacks"), turned.alias("turned"))
+    known = known.withColumn("loose", F.col("n_lacks") > F.col("n_adds"))
     apart = known.groupBy("a").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("loose").alias("any_loose")).filter("x <> y").select("a", "any_loose")
-    known = known.join(apart, "a")
-    items = F.when(F.col("any_loose"), F.col("part")).otherwise(F.slice("part", F.lit(1), F.col("adds")))
-    left = known.select("a", "id", "class", "adds", "loose", F.posexplode(items).alias("at", "item")).select("a", "id", "class", "item", "loose", (F.col("at") >= F.col("adds")).alias("lack"))
-    right = left.select("a", "item", F.col("id").alias("id2"), F.col("class").alias("class2"), F.col("loose").alias("loose2"))
-    meet = (F.col("id") < F.col("id2")) & (F.col("class") != F.col("class2")) & (~F.col("lack") | F.col("loose") | F.col("loose2"))
-    rest = left.join(right, ["a", "item"]).filter(meet).select("id", "id2").distinct()
+    known = materialise(known.join(apart, "a"), "dup-known")
+    rest = meetings(known)
     # members with the pivot's shingles in another order: their differences say nothing
     turned = known.filter("turned").select("a", "id", "class").join(known.select("a", F.col("id").alias("id2"), F.col("class").alias("class2")), "a").filter(F.col("class") != F.col("class2"))
     rest = rest.unionByName(turned.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))).distinct()
