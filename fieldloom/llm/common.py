@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are hashed at once; longer texts are hashed in pieces and stay whole.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 

@@ -109,16 +109,20 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` and COUNTS of every document; the counts' names yield to clashing ones in keep."""
+    """The columns `keep` and COUNTS of every document; the counts' names yield to clashing ones in keep.
+
+    `text` may name a field of a struct in keep (row.text), so that a text goes to the workers once.
+    """
     names = [fresh(c, keep) for c in COUNTS]
-    base = docs.select(*keep, F.col(text).alias(fresh("_text", keep)))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    ddl = ", ".join([*([ddl] if ddl else []), *[f"`{n}` bigint" for n in names]])
+    holder, _, part = text.partition(".")
+    base = docs.select(*keep) if part else docs.select(*keep, F.col(text).alias(fresh("_text", keep)))
+    n = len(keep)
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n]], *[f"`{c}` bigint" for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = measure(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(counts[c]) for c in COUNTS]], [*b.schema.names[:-1], *names])
+            counts = measure(b.column(holder).field(part) if part else b.column(n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(counts[c]) for c in COUNTS]], [*b.schema.names[:n], *names])
 
     return base.mapInArrow(run, ddl)
 
@@ -186,6 +190,6 @@ def judge(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with their own columns; texts aren't shuffled."""
     counted = materialise(measured(docs, ["lang", "source"]), "quality-counts")
-    again = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
-    both = measured(again, ["row", "lang", "source"])
+    again = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source")
+    both = measured(again, ["row", "lang", "source"], "row.text")
     return _judged(both, thresholds(sketches(counted))).filter("kept").select("row.*")
