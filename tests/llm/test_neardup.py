@@ -15,8 +15,9 @@ def shingles(text):
 def similarity(a, b):
     """The plain dynamic programme."""
     a, b = shingles(a), shingles(b)
-    if not a or not b:
-        return 0.0
+    common = (Counter(a) & Counter(b)).total()
+    if not common or common / (len(a) + len(b) - common) < 0.8:
+        return 0.0  # the order can only take from what the bags share
     row = [0] * (len(b) + 1)
     for x in a:
         new = [0]
