@@ -4,10 +4,11 @@ Three base patterns are searched in whole texts. On top of them, runs of base64
 decoded and parsed: a span is reported only if its bytes are what they claim to be.
 
 * jwt - a signed token: its header is base64url JSON with a string `alg`, its payload base64url JSON, a third part follows;
-* der - base64 or hex of an ASN.1 SEQUENCE whose nested lengths fit exactly and that begins with an INTEGER or a SEQUENCE
+* der - base64 (of either alphabet, also wrapped into lines or inside a longer run) or hex of an ASN.1 SEQUENCE whose nested lengths fit exactly and that begins with an INTEGER or a SEQUENCE
   (PKCS#1, PKCS#8, SEC 1 and X.509 keys all do);
 * ssh - base64 of length-prefixed fields (SSH wire format, or an openssh-key-v1 container) that use up all bytes;
-* pem - a BEGIN/END block of a private key whose body is base64 of DER or of an openssh-key-v1 container.
+* pem - a BEGIN/END block of a private key whose body is base64 of DER or of an openssh-key-v1 container. Line ends may be escaped (\\n
+  in JSON). With a DEK-Info header the body is encrypted: whole blocks of eight bytes. The block may itself be base64.
 
 Defined cases: null texts are empty; spans count code points, end exclusive; repeated rows are scanned each; texts of any length
 are scanned whole; an empty table gives an empty result; further columns are ignored by scan() and kept by redacted().
@@ -21,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +35,17 @@ HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 #: Runs of base64 of at least so many characters are decoded (24 bytes: no key is shorter).
 LEAST = 32
-B64_RUN = re.compile(rf"[A-Za-z0-9+/]{{{LEAST},}}={{0,2}}")
+B64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+#: Lines of one base64 text: two or more, of which the first are of at least so many characters.
+B64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:(?:\\r)?(?:\\n)[A-Za-z0-9+/_-]+|[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={{0,2}}")
+BREAK = re.compile(r"(?:\\[rn]|\s)+")
+#: What base64 of a SEQUENCE, of 0x000000, of "openssh" and of "-----BEGIN " begins with; of short SEQUENCES inside a run only with an INTEGER of a byte.
+STARTS = re.compile(r"MI|M[A-P].CAQ|\AM[A-P]|AAAA|b3BlbnNza|LS0tLS1CRUdJTi")
 ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\\[rn]|\s)*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*(?=\\[rn]|[\r\n]))*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+PIECE = re.compile(r"(?:(?<!\\)|(?<=\\[rn]))[A-Za-z0-9+/_-]+")
+URL_SAFE = str.maketrans("-_", "+/")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 
@@ -117,6 +126,74 @@ def _json(text: str) -> object:
         return None
 
 
+def _pem(m: re.Match) -> bool:
+    """Whether a block's body is a key, or encrypted as its headers say."""
+    raw = _b64(BREAK.sub("", m[3]))
+    if raw is None:
+        return False
+    return der_key(raw) or ssh_key(raw) or ("DEK-Info:" in m[2] and len(raw) >= 24 and len(raw) % 8 == 0)
+
+
+def _key_at(run: str, at: int, ends: list[int]) -> tuple[int, str] | None:
+    """(end, kind) of the key that begins there in a run of base64 without breaks and padding, or None. DER says itself where it ends; others end with a line."""
+    if run[at] == "M":
+        head = _b64(run[at : at + 8])
+        if head is None or len(head) < 6 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+            return None
+        size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
+        end = at + (size * 4 + 2) // 3
+        whole = end == len(run) or run.startswith("MI", at) or run[at + 3 : at + 6] == "CAQ"
+        if size < 24 or end > len(run) or not whole or (raw := _b64(run[at:end])) is None or not der_key(raw):
+            return None
+        return end, "der"
+    if run[at] == "A":
+        head = _b64(run[at : at + 96]) or b""
+        n = int.from_bytes(head[:4], "big")
+        if not 4 <= n <= 64 or not re.fullmatch(rb"[a-z0-9@.-]+", head[4 : 4 + n]):
+            return None
+    own = run[at : len(run) - ((len(run) - at) % 4 == 1)]
+    if (raw := _b64(own)) is None or len(raw) < 24:
+        return None
+    if run[at] == "L":
+        block = PEM.match(raw.decode("latin-1"))
+        return (at + (block.end() * 4 + 2) // 3, "pem") if block and _pem(block) else None
+    if run[at] == "b":
+        return (len(run), "ssh") if ssh_key(raw) else None
+    fits, end, fields = set(), 0, 0
+    while end + 4 <= len(raw):
+        end, fields = end + 4 + int.from_bytes(raw[end : end + 4], "big"), fields + 1
+        if fields > 1:
+            fits.add(end)
+    return next(((e, "ssh") for e in reversed(ends) if e > at and (e - at) % 4 != 1 and (size := (e - at) * 3 // 4) in fits and size >= 24), None)
+
+
+def _encoded(text: str) -> list[tuple[int, int, str]]:
+    """Keys in runs of base64: single ones, and lines joined to one."""
+    found: list[tuple[int, int, str]] = []
+    for lines, pattern in ((False, B64_RUN), (True, B64_LINES)):
+        for m in pattern.finditer(text):
+            whole = m[0].rstrip("=")
+            if not STARTS.search(whole):
+                continue
+            pieces = [(x.start(), x.end()) for x in PIECE.finditer(whole)] if lines else [(0, len(whole))]
+            run = "".join(whole[a:b] for a, b in pieces).translate(URL_SAFE)
+            place = [i for a, b in pieces for i in range(a, b)] if lines else range(len(whole))
+            ends = list(accumulate(b - a for a, b in pieces))
+            at = 0
+            while start := STARTS.search(run, at):
+                at = start.start() + 1
+                if (key := _key_at(run, start.start(), ends)) is None:
+                    continue
+                at = key[0]
+                end = place[at - 1] + 1
+                if at == len(run):
+                    end = len(m[0])  # with its padding
+                span = (m.start() + place[start.start()], m.start() + end, key[1])
+                if not any(a <= span[0] and span[1] <= b for a, b, _ in found):
+                    found.append(span)
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) of one whole text, by start, then kind."""
     spans: list[tuple[int, int, str]] = []
@@ -131,23 +208,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
             head = _json(m[1])
             if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(m[2]), dict):
                 spans.append((*m.span(), "jwt"))
-    for m in B64_RUN.finditer(text):
-        run = m[0]
-        if run[0] not in "MAb":  # base64 of 0x30.., 0x000000.. and of "openssh"
-            continue
-        if (raw := _b64(run)) is not None and len(raw) >= 24:
-            if run[0] == "M" and der_key(raw):
-                spans.append((*m.span(), "der"))
-            elif run[0] in "Ab" and ssh_key(raw):
-                spans.append((*m.span(), "ssh"))
+    spans += _encoded(text)
     for m in ANY_HEX.finditer(text):
         if m[0].startswith("30") and der_key(bytes.fromhex(m[0])):
             spans.append((*m.span(), "der"))
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            raw = _b64(re.sub(r"\s", "", m[2]))
-            if raw is not None and (der_key(raw) or ssh_key(raw)):
-                spans.append((*m.span(), "pem"))
+        blocks = [m.span() for m in PEM.finditer(text) if _pem(m)]
+        inside = {s for s in spans if s[2] in ("der", "ssh", "pem") and any(a <= s[0] and s[1] <= b for a, b in blocks)}
+        spans = [s for s in spans if s not in inside] + [(*x, "pem") for x in blocks]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -138,3 +138,45 @@ def test_redacted_texts_have_no_secrets_left_and_others_are_as_they_were(spark,
         if not secrets.find(before[r.doc_id]):
             assert r.text == before[r.doc_id]
     assert changed
+
+
+def wrapped(text, brk="\n", width=64):
+    return brk.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_in_other_encodings():
+    def field(b):
+        return struct.pack(">I", len(b)) + b
+
+    block = f"-----BEGIN PRIVATE KEY-----\n{wrapped(b64(PKCS8))}\n-----END PRIVATE KEY-----\n"
+    # line ends escaped in JSON
+    account = json.dumps({"type": "service_account", "private_key": block, "client_id": "1"})
+    assert kinds(account) == ["pem"]
+    assert b64(PKCS8)[70:120] not in secrets.redact(account)
+    # encrypted, with headers
+    body = hashlib.shake_256(b"y").digest(608)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{wrapped(b64(body))}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"a {locked} b") == ["pem"]
+    assert secrets.redact(f"a {locked} b") == "a [secret] b"
+    assert kinds(json.dumps(locked)) == ["pem"]
+    assert kinds(locked.replace(head, "")) == []
+    # base64url, with - and _ in it
+    key = next(k for i in range(99) if "-" in (k := base64.urlsafe_b64encode(tlv(0x30, tlv(2, b"\0") + number(f"u{i}", 300))).decode()) and "_" in k)
+    assert secrets.redact(f"see {key} here") == "see [secret] here"
+    # wrapped without armour, in two widths and with a word after it
+    for width in (64, 76):
+        for after in ("", "\nend of it"):
+            assert kinds(f"see\n{wrapped(b64(KEY), width=width)}{after}") == ["der"]
+    assert secrets.redact(f"see\n{wrapped(b64(KEY))}\n\nend") == "see\n[secret]\n\nend"
+    ssh = b64(field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(256)) + b"\7"))
+    assert kinds(f"ssh-rsa\n{wrapped(ssh)}\nme") == ["ssh"]
+    # glued to what stands before
+    for before in ("/", "key/", "x", "A"):
+        assert kinds(f"see {before}{b64(KEY)} here") == ["der"]
+    # base64 of a block, whole and wrapped
+    for text in (b64(block.encode()), wrapped(b64(block.encode()), width=76)):
+        assert kinds(f"see {text} here") == ["pem"]
+    # what only looks like it
+    assert kinds(wrapped(b64(hashlib.shake_256(b"z").digest(3000)))) == []
+    assert kinds("MI" * 20_000 + "AAAA" * 20_000 + "\n" + "AAAAB3NzaC1yc2E" * 500) == []
