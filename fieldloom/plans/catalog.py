@@ -541,8 +541,7 @@ def d06_weekday_minute(s: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT event_id, CASE WHEN a < 60 THEN 'vor ' || a || ' s' WHEN a < 3600 THEN 'vor ' || (a // 60) || ' min' WHEN a < 86400 THEN 'vor ' || (a // 3600) || ' h' ELSE 'vor ' || (a // 86400) || ' d' END AS age
            FROM (SELECT event_id, greatest(0, (SELECT max(t) FROM {EV}) - t - 100) AS a FROM {EV})""")
 def d12_age(s: SparkSession, d: str) -> DataFrame:
-    newest = F.max("t").over(Window.partitionBy())
-    return events(s, d).select("event_id", dates.age_text(newest - F.col("t") - 100).alias("age"))
+    return alerts.with_newest(events(s, d), "t", "newest").select("event_id", dates.age_text(F.col("newest") - F.col("t") - 100).alias("age"))
 
 
 @query("""SELECT k, CAST(try_strptime(printf('%04d-%02d-%02d', 2000 + k % 30, k % 14, k % 33), '%Y-%m-%d') AS DATE)::VARCHAR AS day FROM (SELECT CAST(p_partkey AS INTEGER) AS k FROM part)""")

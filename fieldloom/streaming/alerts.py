@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,23 +22,25 @@ def step(prev: tuple[str, int] | None, status: str, now: int, cooldown: int) ->
 def alerts_by_key(samples: DataFrame, cooldown: int) -> DataFrame:
     """All alerts of a history: samples(key, run, ts, status), runs numbered from 0 in order.
 
-    Per key the state is folded over its samples inside Spark: an ordered array and one aggregate. A key that a run
+    A key's samples stream in order through one task that holds one state. A key that a run
     doesn't have is forgotten, as is the state before. The first sample of a key in a run counts, other levels than ok, warn and crit don't.
     """
     s = samples.filter(F.col("status").isin("ok", "warn", "crit")).groupBy("key", "run").agg(F.min_by(F.struct("ts", "status"), "ts").alias("s"))
-    seq = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("run", "s.ts", "s.status"))).alias("seq"))
-    state = "struct<run:bigint,status:string,at:bigint,out:array<struct<ts:bigint,kind:string>>>"
-    zero = F.struct(F.lit(-2).cast("long").alias("run"), F.lit("").alias("status"), F.lit(0).cast("long").alias("at"), F.expr("array()").cast("array<struct<ts:bigint,kind:string>>").alias("out")).cast(state)
+    rows = s.select("key", F.col("run").cast("long").alias("run"), F.col("s.ts").cast("long").alias("ts"), F.col("s.status").alias("status"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        was = F.when(x["run"] == acc["run"] + 1, acc["status"]).otherwise("")
-        again = (was == "crit") & (x["ts"] - acc["at"] >= cooldown)
-        kind = F.when((x["status"] == "crit") & ((was != "crit") | again), "crit").when((x["status"] != "crit") & (was == "crit"), "recovered")
-        at = F.when((x["status"] == "crit") & (was == "crit") & ~again, acc["at"]).otherwise(x["ts"])
-        out = F.when(kind.isNotNull(), F.concat(acc["out"], F.array(F.struct(x["ts"].alias("ts"), kind.alias("kind"))))).otherwise(acc["out"])
-        return F.struct(x["run"].cast("long").alias("run"), x["status"].alias("status"), at.cast("long").alias("at"), out.alias("out")).cast(state)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prev = None, None
+        for b in batches:
+            kinds = []
+            for key, n, ts, status in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                kind, state = step(prev if last == (key, n - 1) else None, status, ts, cooldown)
+                last, prev = (key, n), state
+                kinds.append(kind)
+            kind = pa.array(kinds, pa.string())
+            yield pa.RecordBatch.from_arrays([b["key"], b["ts"], kind], ["key", "ts", "kind"]).filter(kind.is_valid())
 
-    return seq.select("key", F.inline(F.aggregate("seq", zero, fold)["out"]))
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "run").mapInArrow(run, f"key {key}, ts bigint, kind string")
 
 
 def alert_stream(samples: DataFrame, cooldown: int) -> DataFrame:
@@ -64,18 +67,22 @@ def alert_stream(samples: DataFrame, cooldown: int) -> DataFrame:
 def rate_limited(df: DataFrame, by: list[str], ts: str, order: str, window: int, most: int) -> DataFrame:
     """Rows let through by windows of `window` seconds that begin with the first row after the last one ended.
 
-    Windows aren't aligned to the clock, so each key's times are folded in order.
+    Windows aren't aligned to the clock, so each key's times stream in order through one task that holds one window.
     """
-    seq = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(ts, order))).alias("seq"))
-    kind = f"struct<begin:bigint,n:int,out:array<struct<{ts}:bigint,{order}:bigint>>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("begin"), F.lit(0).alias("n"), F.expr("array()").alias("out")).cast(kind)
+    rows = df.select(*by, F.col(ts).cast("long").alias(ts), F.col(order).cast("long").alias(order))
 
-    def fold(acc: Column, x: Column) -> Column:
-        fresh = acc["begin"].isNull() | (x[ts] - acc["begin"] >= window)
-        n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(F.when(fresh, x[ts]).otherwise(acc["begin"]).alias("begin"), n.alias("n"), F.when(n <= most, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out")).cast(kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin, n = None, None, 0
+        for b in batches:
+            let = []
+            for *key, now in zip(*[b[c].to_pylist() for c in [*by, ts]], strict=True):
+                if key != last or begin is None or (now is not None and now - begin >= window):
+                    last, begin, n = key, now, 0
+                n += 1
+                let.append(n <= most)
+            yield b.filter(pa.array(let, pa.bool_()))
 
-    return seq.select(*by, F.inline(F.aggregate("seq", zero, fold)["out"]))
+    return rows.repartition(*by).sortWithinPartitions(*by, ts, order).mapInArrow(run, rows.schema)
 
 
 def stale(df: DataFrame, ts: str, now: Column, seconds: int) -> DataFrame:
@@ -85,5 +92,9 @@ def stale(df: DataFrame, ts: str, now: Column, seconds: int) -> DataFrame:
 
 def trailing(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     """Rows of the last so many seconds before the newest one."""
-    newest = F.max(ts).over(Window.partitionBy())
-    return df.withColumn("_newest", newest).filter(F.col(ts) >= F.col("_newest") - seconds).drop("_newest")
+    return with_newest(df, ts, "_newest").filter(F.col(ts) >= F.col("_newest") - seconds).drop("_newest")
+
+
+def with_newest(df: DataFrame, ts: str, name: str) -> DataFrame:
+    """Each row with the newest time of all, found in parts and broadcast as one row."""
+    return df.crossJoin(F.broadcast(df.agg(F.max(ts).alias(name))))
