@@ -234,6 +234,11 @@ def o01_order_by_title(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").orderBy("p_name", "p_partkey").limit(100).select("p_name", "p_partkey")
 
 
+@query("""SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey""")
+def o01_order_by_title_whole(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_name", "p_partkey").orderBy("p_name", "p_partkey")
+
+
 # ---- joins
 
 @query("""SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal IS NOT NULL AND o_totalprice > 200000""")
