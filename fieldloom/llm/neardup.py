@@ -11,8 +11,9 @@ or more are links, and classes are the components of links.
    Texts of up to `SHORT` shingles also have `SHORT_SKETCHES` sketches of two picks.
 3. In a bucket, everything is compared with a pivot: as many pairs as members. The pivot is the member with the most company in
    all its buckets, the middle of a group of near copies. Components of these links need no comparison inside. Members of a pivot in
-   different components are compared as well if their differences from the pivot meet where any link has to
-   (see meetings()): texts that share but a passage never meet, near copies only if they share edits.
+   different components meet in new buckets if their differences from the pivot do where any link has to
+   (see meetings()): texts that share but a passage never meet, near copies only if they share edits. These buckets, and those of members
+   whose shingles stand in another order than the pivot's, get new pivots in rounds until each holds one class (see settled()).
 4. A comparison first bounds the similarity by the shared multiset of shingles, then aligns within the band that
    0.8 leaves (bit-parallel over the band).
 
@@ -40,6 +41,10 @@ WORDS = 5
 SIMILAR = 0.8
 PICKS, SKETCHES = 6, 40
 SHORT, SHORT_SKETCHES = 64, 16
+#: Differences and members of a pivot that one group looks through, and members of a bucket that are compared with all others in a round.
+ITEMS, MEMBERS, PIVOTS = 100_000, 100_000, 8
+#: Shingles with more places in a text than this have one bit mask for all of them.
+OFTEN = 64
 IDS_BROADCAST = 1_000_000
 _SEEDS = mix(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _FACTORS = mix(_SEEDS) | np.uint64(1)
@@ -136,13 +141,22 @@ def _banded_lcs(a: list[int], b: list[int], band: int) -> int:
     where: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         where.setdefault(x, []).append(i)
+    masks: dict[int, int] = {}
+    wide = (1 << (2 * band + 1)) - 1
     full = (1 << len(a)) - 1
     v = full
     for j, y in enumerate(b):
-        match = 0
-        for i in where.get(y, ()):
-            if -band <= i - j <= band:
-                match |= 1 << i
+        places, match = where.get(y, ()), 0
+        if len(places) <= OFTEN:
+            for i in places:
+                if -band <= i - j <= band:
+                    match |= 1 << i
+        else:
+            if y not in masks:
+                bits = np.zeros(len(a), np.uint8)
+                bits[places] = 1
+                masks[y] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            match = masks[y] & (wide << (j - band) if j >= band else wide >> (band - j))
         if match:
             u = v & match
             v = ((v + u) | (v - u)) & full
@@ -215,34 +229,105 @@ def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, adds array<bigint>, lacks array<bigint>, pivot_n bigint")
 
 
-def _ranked(known: DataFrame, items: F.Column) -> DataFrame:  # ty: ignore
-    """A row for each item that two members of a pivot have: `left` counts the member's items from this one on, rarest items first."""
-    each = known.select("a", "id", "class", "pivot_n", "n_adds", "n_lacks", "loose", F.explode(items).alias("item"))
-    often = each.groupBy("a", "item").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    on = Window.partitionBy("a", "id").orderBy(F.desc("often"), "item")
-    return each.join(often, ["a", "item"]).withColumn("left", F.row_number().over(on)).drop("often")
+def _parts(item: F.Column, parts: F.Column) -> F.Column:  # ty: ignore
+    return F.floor((F.shiftright(item, 48) + 32768) * parts / 65536)
 
 
 def meetings(known: DataFrame) -> DataFrame:
-    """(id, id2): members of a pivot z in different classes that may be links, by their differences from z.
+    """(kind, a, item, id, left): members of a pivot z that share a difference from z where any link has to.
 
     Let a, l be how many shingles a member adds to z and lacks of it, n the size of z. Then x and y have
     n - |lacks of either| + |shared adds| shingles in common, and 0.8 asks for (|x| + |y|) / 2.25 of them. So they share
     (5 (lx + ly) + 4 (ax + ay) - n) / 9 adds and lacks at least, and (4 (ax - lx + ay - ly) - n) / 9 + max(lx, ly) adds.
     One of them doesn't link to z, which makes the first bound positive, and the second as well unless a member is loose (lacks
-    more than it adds). Items stand in one fixed order, rarest in the group first. The first one that two members share has at least as
-    many items from it on, in both, as they have to share: pairs meet only there.
+    more than it adds). Kind 0 are adds of members that aren't loose, kind 1 adds and lacks where one of both is.
+
+    Items go out as lists, a list for each of the pivot's ranges of hashes, of which there are as many as make about `ITEMS` items each
+    (members of pivots with more than `MEMBERS` are dealt over several groups as well); what no other class shares, nearly all of
+    them, ends there. The others stand in one order, rarest first. A member has at least `needed` of them in common with any member
+    that it may link to (the bound, with the least that others of the pivot can have), so the first one that both share has as many from
+    it on (`left`): members with fewer leave, and the others only keep the items up to there.
+    """
+    firm = ~F.col("loose")
+    out = F.col("class") != F.col("pivot_class")
+    grows, weight = F.col("n_adds") - F.col("n_lacks"), F.col("n_adds") * 4 + F.col("n_lacks") * 5
+    least = known.groupBy("a").agg(
+        F.max("loose").alias("any_loose"), F.min(F.when(firm, grows)).alias("g_all"), F.min(F.when(firm & out, grows)).alias("g_out"), F.min(F.when(firm & out, F.col("n_lacks"))).alias("l_out"), F.min(weight).alias("w_all")
+    )
+    k = known.join(least, "a")
+    inside = lambda x, y: F.when(out, x).otherwise(y)  # noqa: E731  members of the pivot's class only meet those of others
+    others = F.greatest(inside(F.col("g_all"), F.col("g_out")), grows * 0.8 - F.col("pivot_n") * 0.2)
+    adds_needed = ((grows + others) * 4 - F.col("pivot_n")) / 9 + inside(F.col("n_lacks"), F.greatest("n_lacks", "l_out"))
+    all_needed = (weight + F.col("w_all") - F.col("pivot_n")) / 9
+
+    def listed(rows: DataFrame, kind: int, items: F.Column, needed: F.Column) -> DataFrame:  # ty: ignore
+        needed = F.greatest(F.lit(1), F.ceil(needed - 1e-6)).cast("int")
+        return rows.select(F.lit(kind).alias("kind"), "a", "id", "class", "loose", needed.alias("needed"), items.alias("items")).filter(F.size("items") >= F.col("needed"))
+
+    # members of the pivot's class have no one to meet if no other is firm
+    rows = listed(k.filter(firm & F.col("g_out").isNotNull()), 0, F.col("adds"), adds_needed)
+    rows = rows.unionByName(listed(k.filter("any_loose"), 1, F.concat("adds", "lacks"), all_needed))
+    room = rows.groupBy("kind", "a").agg(F.sum(F.size("items")).alias("all"), F.count(F.lit(1)).alias("members"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
+    room = room.select("kind", "a", F.ceil(F.col("members") / MEMBERS).cast("int").alias("deals"), F.ceil(F.col("all") / F.lit(ITEMS) / F.ceil(F.col("members") / MEMBERS)).cast("int").alias("parts"))
+    rows = rows.join(room, ["kind", "a"])
+    spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")))
+    own = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: _parts(x, F.col("parts")) == F.col("part")))
+    spread = spread.select("kind", "a", "part", "deal", "deals", "id", "class", "loose", "needed", own.alias("items")).filter(F.size("items") > 0)
+
+    def shared(group: pa.Table) -> pa.Table:
+        lists = group["items"].combine_chunks()
+        items = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        own = group["class"].to_numpy()[row]
+        order = np.lexsort((own, items))
+        first = np.ones(len(row), bool)
+        first[1:] = items[order][1:] != items[order][:-1]
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(row))
+        apart = own[order][begin] != own[order][end - 1]
+        keep = order[np.repeat(apart | (group["deals"][0].as_py() > 1), end - begin)]
+        return group.drop_columns(["part", "deal", "deals", "items"]).take(pa.array(row[keep])).append_column("item", pa.array(items[keep]))
+
+    some = spread.groupBy("kind", "a", "part", "deal").applyInArrow(shared, "kind int, a bigint, id bigint, class bigint, loose boolean, needed int, item bigint")
+    often = some.groupBy("kind", "a", "item").agg(F.count(F.lit(1)).alias("often"), F.min("class").alias("x"), F.max("class").alias("y"), F.max("loose").alias("some_loose"))
+    often = often.filter("x <> y and (kind = 0 or some_loose)").drop("x", "y", "some_loose")
+    left = F.row_number().over(Window.partitionBy("kind", "a", "id").orderBy(F.desc("often"), "item"))  # one member's items
+    return some.join(often, ["kind", "a", "item"]).withColumn("left", left).filter("left >= needed").select("kind", "a", "item", "id", "left")
+
+
+def settled(rows: DataFrame, seqs: DataFrame) -> DataFrame | None:
+    """Links (a, b) between classes: rows(bucket, kind, id, class, n_adds, n_lacks, pivot_n, left, lead) are members of buckets.
+
+    In a round, each bucket has up to `PIVOTS` leading members compared with all others of other classes that can link to them (see
+    meetings()); so pairs are no more than PIVOTS times the members. These pivots are then through with everybody and leave. Classes that turn out
+    to be one are merged before the next round; a bucket is left when it holds one class, or no more leaders.
     """
-    other = lambda items: items.select("a", "item", *[F.col(c).alias(c + "2") for c in ("id", "class", "n_adds", "n_lacks", "loose", "left")])
+    found: DataFrame | None = None
+    second = ("id", "class", "n_adds", "n_lacks", "left")
     grows = F.col("n_adds") - F.col("n_lacks") + F.col("n_adds2") - F.col("n_lacks2")
     adds_needed = (grows * 4 - F.col("pivot_n")) / 9 + F.greatest("n_lacks", "n_lacks2")
     all_needed = ((F.col("n_adds") + F.col("n_adds2")) * 4 + (F.col("n_lacks") + F.col("n_lacks2")) * 5 - F.col("pivot_n")) / 9
-    enough = lambda needed: (F.col("class") != F.col("class2")) & (F.least("left", "left2") >= needed - 1e-6)
-    firm = _ranked(known.filter("not loose"), F.col("adds"))
-    found = firm.join(other(firm), ["a", "item"]).filter((F.col("id") < F.col("id2")) & enough(adds_needed)).select("id", "id2")
-    some = _ranked(known.filter("any_loose"), F.concat("adds", "lacks"))
-    mixed = some.filter("loose").join(other(some), ["a", "item"]).filter((~F.col("loose2") | (F.col("id") < F.col("id2"))) & enough(all_needed))
-    return found.unionByName(mixed.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))).distinct()
+    needed = F.when(F.col("kind") == 0, adds_needed).when(F.col("kind") == 1, all_needed).otherwise(0)
+    while True:
+        several = rows.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("lead").alias("any_lead")).filter("x <> y and any_lead")
+        rows = materialise(rows.join(several.select("bucket"), "bucket", "left_semi"), "dup-open")
+        if rows.isEmpty():
+            return found
+        each = [F.min(F.when(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)) == i, F.struct(*second))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = rows.filter("lead").groupBy("bucket").agg(*each).select("bucket", F.inline(F.array_compact(F.array(*[f"p{i}" for i in range(PIVOTS)]))))
+        pivots = materialise(pivots.toDF("bucket", *[c + "2" for c in second]), "dup-pivots")
+        used = pivots.select("bucket", F.col("id2").alias("id"), F.lit(True).alias("used"))
+        met = rows.join(used, ["bucket", "id"], "left").join(pivots, "bucket").filter((F.col("class") != F.col("class2")) & (F.col("used").isNull() | (F.col("id") < F.col("id2"))))
+        met = met.filter(F.least("left", "left2") >= needed - 1e-6)
+        met = materialise(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("class", "class2").alias("x"), F.greatest("class", "class2").alias("y")).distinct(), "dup-met")
+        linked = compared(met.select("a", "b", F.lit(False).alias("many")), seqs).filter(F.col("similar") >= SIMILAR).select("a", "b")
+        linked = materialise(met.join(linked, ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "dup-links")
+        rows = rows.join(used, ["bucket", "id"], "left_anti")
+        if not linked.isEmpty():
+            found = linked if found is None else found.unionByName(linked)
+            now = components(linked).select(F.col("node").alias("class"), F.col("class").alias("now"))
+            rows = rows.join(now, "class", "left").withColumn("class", F.coalesce("now", "class")).drop("now")
+        rows = rows.select("bucket", "kind", "id", "class", "n_adds", "n_lacks", "pivot_n", "left", "lead")
 
 
 def connected(docs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -260,19 +345,26 @@ def connected(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     seqs = materialise(_sequences_of(docs, ids), "dup-sequences")
     told = materialise(compared(first, seqs), "dup-first")
     stars = components(told.filter(F.col("similar") >= SIMILAR))
-    # what the pivots leave open: members of one pivot that aren't connected yet and whose differences from it meet
-    known = told.filter("adds is not null").join(stars, F.col("b") == F.col("node"), "left")
+    # what the pivots leave open: members of one pivot that aren't connected yet
+    own = stars.select(F.col("node").alias("a"), F.col("class").alias("pivot_class"))
+    known = told.filter("adds is not null").join(stars, F.col("b") == F.col("node"), "left").join(own, "a", "left")
     turned = (F.col("shared") >= SIMILAR) & (F.col("similar") < SIMILAR)
-    known = known.select("a", F.col("b").alias("id"), F.coalesce("class", "b").alias("class"), "adds", "lacks", "pivot_n", F.size("adds").alias("n_adds"), F.size("lacks").alias("n_lacks"), turned.alias("turned"))
-    known = known.withColumn("loose", F.col("n_lacks") > F.col("n_adds"))
-    apart = known.groupBy("a").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("loose").alias("any_loose")).filter("x <> y").select("a", "any_loose")
+    known = known.select(
+        "a", F.col("b").alias("id"), F.coalesce("class", "b").alias("class"), F.coalesce("pivot_class", "a").alias("pivot_class"), "adds", "lacks", "pivot_n",
+        F.size("adds").alias("n_adds"), F.size("lacks").alias("n_lacks"), turned.alias("turned"), (F.size("lacks") > F.size("adds")).alias("loose"),
+    )
+    apart = known.groupBy("a").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("a")
     known = materialise(known.join(apart, "a"), "dup-known")
-    rest = meetings(known)
-    # members with the pivot's shingles in another order: their differences say nothing
-    turned = known.filter("turned").select("a", "id", "class").join(known.select("a", F.col("id").alias("id2"), F.col("class").alias("class2")), "a").filter(F.col("class") != F.col("class2"))
-    rest = rest.unionByName(turned.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))).distinct()
-    more = compared(rest.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.lit(False).alias("many")), seqs).filter(F.col("similar") >= SIMILAR)
-    return components(more.select("a", "b").unionByName(stars.select(F.col("node").alias("a"), F.col("class").alias("b"))))
+    told_of = known.select("a", "id", "class", "n_adds", "n_lacks", "pivot_n", "loose", "turned")
+    met = meetings(known.filter("not turned")).join(told_of, ["a", "id"])
+    rows = met.select(F.xxhash64("kind", "a", "item").alias("bucket"), "kind", "id", "class", "n_adds", "n_lacks", "pivot_n", "left", ((F.col("kind") == 0) | F.col("loose")).alias("lead"))
+    # members with the pivot's shingles in another order: their differences say nothing, but whom they may link to shares a bucket with them
+    held = seen.select("key", F.col("pivot").alias("a"), "id").join(told_of, ["a", "id"])
+    held = held.join(held.filter("turned").select("key").distinct(), "key", "left_semi")
+    rows = rows.unionByName(held.select(F.xxhash64(F.lit(2), "key").alias("bucket"), F.lit(2).alias("kind"), "id", "class", "n_adds", "n_lacks", "pivot_n", F.lit(0).cast("long").alias("left"), F.col("turned").alias("lead")))
+    more = settled(rows, seqs)
+    edges = stars.select(F.col("node").alias("a"), F.col("class").alias("b"))
+    return stars if more is None else components(more.unionByName(edges))
 
 
 def classes(docs: DataFrame) -> DataFrame:
