@@ -254,7 +254,7 @@ def meetings(known: DataFrame) -> DataFrame:
     least = known.groupBy("a").agg(
         F.max("loose").alias("any_loose"), F.min(F.when(firm, grows)).alias("g_all"), F.min(F.when(firm & out, grows)).alias("g_out"), F.min(F.when(firm & out, F.col("n_lacks"))).alias("l_out"), F.min(weight).alias("w_all")
     )
-    k = known.join(least, "a")
+    k = known.join(bounded_broadcast(materialise(least, "dup-least"), IDS_BROADCAST), "a")
     inside = lambda x, y: F.when(out, x).otherwise(y)  # noqa: E731  members of the pivot's class only meet those of others
     others = F.greatest(inside(F.col("g_all"), F.col("g_out")), grows * 0.8 - F.col("pivot_n") * 0.2)
     adds_needed = ((grows + others) * 4 - F.col("pivot_n")) / 9 + inside(F.col("n_lacks"), F.greatest("n_lacks", "l_out"))
@@ -269,7 +269,7 @@ def meetings(known: DataFrame) -> DataFrame:
     rows = rows.unionByName(listed(k.filter("any_loose"), 1, F.concat("adds", "lacks"), all_needed))
     room = rows.groupBy("kind", "a").agg(F.sum(F.size("items")).alias("all"), F.count(F.lit(1)).alias("members"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
     room = room.select("kind", "a", F.ceil(F.col("members") / MEMBERS).cast("int").alias("deals"), F.ceil(F.col("all") / F.lit(ITEMS) / F.ceil(F.col("members") / MEMBERS)).cast("int").alias("parts"))
-    rows = rows.join(room, ["kind", "a"])
+    rows = rows.join(bounded_broadcast(materialise(room, "dup-room"), IDS_BROADCAST), ["kind", "a"])
     spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")))
     own = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: _parts(x, F.col("parts")) == F.col("part")))
     spread = spread.select("kind", "a", "part", "deal", "deals", "id", "class", "loose", "needed", own.alias("items")).filter(F.size("items") > 0)
