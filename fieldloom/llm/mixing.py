@@ -3,9 +3,9 @@
 Each source's documents stand in a seeded order and their words form blocks of `block_words`. All
 blocks of the mix are seats: source i's s-th seat has the quotient target_i / (2s + 1), and the
 highest quotients win. The method is house monotone, so the seats that shard h adds to those of
-the shards before it are its quotas: integers, for every source and shard. A source's quota is taken as
-a run of its blocks from a seeded start, going round when it exceeds the source; a document gets the
-words of the blocks that it shares with the run.
+the shards before it are its quotas: integers, for every source and shard. Documents stand in the order of a seeded hash, so
+their blocks do; from a seeded start, going round, each shard takes as many blocks as its quota says, one shard after the other. A
+document gets the words of the blocks that it shares with each shard's run.
 
 Everything is DataFrame work without Python. Texts never move: only (id, source, size) is shuffled.
 Sizes inside a source are summed in two steps, within hashed buckets and over buckets, so that a
@@ -93,29 +93,23 @@ def quotas(sources: DataFrame, block_words: int, shards: int) -> DataFrame:
     return won.select(F.col("party").alias("place"), (F.col("house") - 1).alias("shard"), (F.col("won") - F.lag("won").over(steps)).alias("quota"), F.col("won").alias("upto")).filter("shard >= 0")
 
 
-def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))
-
-
 def mix(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """One row per document: key, size, source, source_size, target, taken, rounds and the run's place in it.
+    """One row per document: key, size, source, source_size, target, taken, parts and its place in the source's order.
 
-    `rounds` is how often the whole source is taken, [from1, to1) and [from2, to2) the words of this document that are
-    taken once more (the run may enter a document at both ends).
+    `parts` are the runs of words that the mix takes: struct(shard, a, b) for words [a, b) taken for a shard, by place in the
+    mix; a document that is taken twice has its words in two of them, at least.
     """
     text = F.col("text")
     slim = materialise(docs.select(key, "source", n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col("source"), F.length(text), *(extra or [])).alias("h"), *(extra or [])), "mix-sizes")
     targets = materialise(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
-    won = quotas(targets, block_words, shards).groupBy("place").agg(F.max("upto").alias("won"))
-    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
-    plan = targets.join(won, "place", "left").select("source", "source_size", "target", F.least(F.coalesce("won", F.lit(0)), blocks * 2).alias("won"), blocks.alias("blocks"))
-    n = F.greatest("blocks", F.lit(1))
-    plan = (
-        plan.withColumn("rounds", F.floor(F.col("won") / n).cast("long"))
-        .withColumn("begin", F.pmod(F.xxhash64(F.lit(seed), "source"), n) * block_words)
-        .withColumn("length", (F.col("won") - F.col("rounds") * n) * block_words)
-    )
-    plan = bounded_broadcast(plan.withColumnRenamed("source", "plan_source"), SOURCES_BROADCAST)
+    won = quotas(targets, block_words, shards).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("shard", "quota", "upto"))).alias("seats"))  # one for each shard
+    ring = F.ceil(F.col("source_size") / block_words).cast("long") * block_words
+    plan = targets.join(won, "place", "left").select("source", "source_size", "target", "seats", ring.alias("ring"))
+    plan = plan.withColumn("begin", F.pmod(F.xxhash64(F.lit(seed), "source"), F.greatest(F.col("ring") / block_words, F.lit(1)).cast("long")) * block_words)
+    edge = lambda blocks: F.col("begin") + F.least(blocks * block_words, F.col("ring") * 2)
+    runs = F.transform("seats", lambda x: F.struct(x["shard"].cast("int").alias("shard"), edge(x["upto"] - x["quota"]).alias("lo"), edge(x["upto"]).alias("hi")))
+    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "ring", runs.alias("runs"))
+    plan = bounded_broadcast(plan, SOURCES_BROADCAST)
 
     bucket = F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int")
     slim = slim.withColumn("bucket", bucket)
@@ -126,43 +120,44 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16
     placed = slim.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))).withColumn("at", F.col("offset") + F.col("inside"))
     out = placed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    # the run is [begin, begin + length), and what lies beyond the last block comes round to the start
-    at, end, ring = F.col("at"), F.col("at") + F.col("size"), F.greatest("blocks", F.lit(1)) * block_words
-    run_end = F.col("begin") + F.col("length")
-    head = _overlap(at, end, F.col("begin"), F.least(run_end, ring))
-    tail = _overlap(at, end, F.lit(0), run_end - ring)
-    clip = lambda c: F.greatest(F.lit(0), F.least(F.col("size"), c - at))
-    return out.select(
-        key, "size", "source", "source_size", "target", (F.col("rounds") * F.col("size") + head + tail).alias("taken"), "rounds",
-        F.lit(0).cast("long").alias("from1"), tail.alias("to1"), clip(F.col("begin")).alias("from2"), (clip(F.col("begin")) + head).alias("to2"), "at", *(extra or []),
-    )
-
-
-def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16) -> DataFrame:
-    """The mix itself, with the columns of docs: each document as often as the mix takes it.
-
-    A document of which the run's ends take a part is cut to the words taken (each with the white space after it). Cut texts are a few for
-    each source; all others stay as they are. `n_chars` is counted anew if docs has it. Texts are joined with their shares by
-    doc_id, source and a hash of the text; rows that are alike in these share alike.
+    # the runs go round the ring of blocks up to twice from `begin`: the document lies in their way at most three times
+    at, size = F.col("at"), F.col("size")
+
+    def met(turn: int) -> Column:
+        start = at + F.col("ring") * turn
+        cut = lambda r, end: F.greatest(F.lit(0), F.least(size, r[end] - start)).cast("long")
+        return F.filter(F.transform("runs", lambda r: F.struct(r["shard"].alias("shard"), cut(r, "lo").alias("a"), cut(r, "hi").alias("b"))), lambda x: x["b"] > x["a"])
+
+    parts = F.coalesce(F.concat(*[met(turn) for turn in range(3)]), F.array().cast("array<struct<shard:int,a:bigint,b:bigint>>"))
+    out = out.withColumn("parts", parts)
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda total, x: total + x["b"] - x["a"])
+    return out.select(key, "size", "source", "source_size", "target", taken.alias("taken"), "parts", "at", *(extra or []))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = 64, shards: int = 16, shard: str | None = None) -> DataFrame:
+    """The mix itself, with the columns of docs (and a column `shard`, if it is named): each document as often as the mix takes it.
+
+    A document of which the ends of a shard's blocks take a part is cut to the words taken (each with the white space after it). Cut
+    texts are a few for each source and shard; all others stay as they are. `n_chars` is counted anew if docs has it. Texts are joined
+    with their shares by doc_id, source and a hash of the text; rows that are alike in these share alike.
     """
     columns = docs.columns
-    told = mix(docs.withColumn("text_hash", F.xxhash64("text")), seed, block_words, shards, extra=["text_hash"])
-    # rows that are alike in key, source and text are numbered on both sides; most aren't repeated
-    same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("at")
-    told = materialise(told.filter("taken > 0").withColumn("copy", F.row_number().over(same)).select("doc_id", "source", "text_hash", "copy", "size", "rounds", "from1", "to1", "from2", "to2"), "mix-shares")
-    shares = told.groupBy("doc_id", "source", "text_hash").agg(F.collect_list(F.struct("copy", "size", "rounds", "from1", "to1", "from2", "to2")).alias("shares"))
-    one = docs.dropDuplicates(["doc_id", "source", "text"]) if told.filter("copy > 1").limit(1).count() else docs
-    s = shares.select(F.col("doc_id").alias("s_id"), F.col("source").alias("s_source"), F.col("text_hash").alias("s_hash"), "shares")
-    on = F.col("doc_id").eqNullSafe(F.col("s_id")) & F.col("source").eqNullSafe(F.col("s_source")) & (F.xxhash64("text") == F.col("s_hash"))
-    j = one.join(s, on).select(*columns, F.explode("shares").alias("share"))
-    part = lambda a, b: F.struct(F.col(f"share.{a}").alias("a"), F.col(f"share.{b}").alias("b"))
-    whole = F.transform(F.sequence(F.lit(1), F.col("share.rounds")), lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.col("share.size").alias("b")))
-    parts = F.concat(F.when(F.col("share.rounds") > 0, whole).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")), F.filter(F.array(part("from1", "to1"), part("from2", "to2")), lambda p: p["b"] > p["a"]))
-    j = j.withColumn("part", F.explode(parts))
-    pieces = F.split(F.regexp_replace(F.col("text"), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    own = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    told = mix(own, seed, block_words, shards, extra=["text_hash"])
+    # rows that are alike in key, source and text are gathered on both sides; most aren't repeated
+    told = materialise(told.filter("taken > 0").select("doc_id", "source", "text_hash", "size", "at", "parts"), "mix-shares")
+    same = ["doc_id", "source", "text_hash"]
+    repeated = told.groupBy(*same).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
+    one = docs.dropDuplicates(["doc_id", "source", "text"]) if repeated else docs
+    s = told.select(F.struct("doc_id", "source", "text_hash").alias("s"), "size", F.explode("parts").alias("part"))
+    row = F.col("row")
+    rows = one.select(F.struct(*columns).alias("row"), F.xxhash64("text").alias("row_hash"))
+    on = row["doc_id"].eqNullSafe(F.col("s")["doc_id"]) & row["source"].eqNullSafe(F.col("s")["source"]) & (F.col("row_hash") == F.col("s")["text_hash"])
+    j = rows.join(s, on)
+    pieces = F.split(F.regexp_replace(row["text"], r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, (F.col("part.a") + 1).cast("int"), (F.col("part.b") - F.col("part.a")).cast("int")), "")
-    text = F.when((F.col("part.a") == 0) & (F.col("part.b") == F.col("share.size")), F.col("text")).otherwise(cut)
-    out = j.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    new = F.when((F.col("part.a") == 0) & (F.col("part.b") == F.col("size")), row["text"]).otherwise(cut)
+    out = j.select("row", new.alias("new"), "part")
+    kinds = {c: docs.schema[c].dataType for c in columns}
+    made = {"text": F.col("new"), "n_chars": F.length("new")}
+    return out.select(*[(made[c].cast(kinds[c]) if c in made else row[c]).alias(c) for c in columns], *([F.col("part.shard").alias(shard)] if shard else []))

@@ -28,7 +28,9 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """The whole table's shares in the mix; `shards` says for which shards words are taken (shard:words)."""
+    shards = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["shard"], p["b"] - p["a"])), ",")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", shards.alias("shards"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

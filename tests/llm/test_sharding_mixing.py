@@ -132,3 +132,30 @@ def test_mixed_documents_hold_the_words_taken(docs):
         got[r.doc_id] += len(words)
         assert r.n_chars == len(r.text) and r.text.strip() in texts[r.doc_id]
     assert {k: v for k, v in told.items() if v} == {k: v for k, v in got.items() if v}
+
+
+def test_every_shard_holds_its_quotas(docs):
+    told = mixing.mix(docs).select("source", "source_size", "target", F.explode("parts").alias("p")).collect()
+    got, size, target = Counter(), {}, {}
+    for r in told:
+        got[r.source, r.p.shard] += r.p.b - r.p.a
+        size[r.source], target[r.source] = r.source_size, r.target
+    seats, upto = round(sum(target.values()) / 64), Counter()
+    for shard in range(16):
+        n = seats * (shard + 1) // 16
+        won = Counter(k for _, k, _ in sorted((-target[k] / (2 * s + 1), k, s) for k in target for s in range(n))[:n])
+        for k in target:
+            quota = won[k] - upto[k]
+            # the last block of a source isn't full, and a source is taken twice at most
+            assert quota * 64 - 126 <= got[k, shard] <= quota * 64, (k, shard)
+        upto = won
+
+
+def test_mixed_documents_name_their_shard_and_keep_clashing_columns(edge, docs):
+    out = mixing.mixed_documents(docs, shard="in_shard")
+    assert out.columns == [*docs.columns, "in_shard"] and {r.in_shard for r in out.select("in_shard").distinct().collect()} == set(range(16))
+    for c in ("part", "share", "text_hash", "parts", "at", "s"):
+        edge = edge.withColumn(c, F.lit("own"))
+    mixed = mixing.mixed_documents(edge)
+    assert mixed.schema.names == edge.schema.names and mixed.count() > 0
+    assert {(r.part, r.share, r.text_hash, r.size, r.s) for r in mixed.collect()} == {("own", "own", "own", "clash", "own")}
