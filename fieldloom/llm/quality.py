@@ -7,8 +7,9 @@ merges them on the map side, the result doesn't depend on the order of merges, a
 whatever it has seen. The second pass joins each document with the thresholds of its language and source.
 
 A threshold is the third quartile plus `REACH` times the distance between quartiles (at least the measure's own
-`least` spread, for measures that are constant in clean text). A group of fewer than `SMALL` documents
-takes the thresholds of its language's merged sketch, and that of all documents if the language is small too.
+`least` spread, for measures that are constant in clean text). A group's sketch is shrunk towards its language's: the shares of the
+language's bins are added with the weight of `SHRINK` documents, and the language's sketch is shrunk towards that of all documents in
+the same way. A group of n documents thus counts n / (n + SHRINK), without a size at which the rule changes.
 
 Defined cases: null texts have no words and fail the base rule; null language or source are groups of their own; texts of any
 length are measured whole; repeated rows are measured each; an empty table gives an empty result; further columns are ignored.
@@ -35,7 +36,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 SKETCH_ERROR = 0.02
 REACH = 4.0
-SMALL = 200
+SHRINK = 200
 GROUPS_BROADCAST = 200_000
 #: measure -> (numerator, denominator, least spread between quartiles)
 MEASURES = {
@@ -149,25 +150,34 @@ def _bin_value(b: Column) -> Column:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per language and source: the upper bound of each measure, from its own or a merged sketch."""
-
-    def bounds(s: DataFrame, by: list[str]) -> DataFrame:
-        merged = s.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
-        key = Window.partitionBy(*by, "measure")
-        upto = F.sum("n").over(key.orderBy("bin"))
-        q = merged.withColumn("upto", upto).withColumn("all", F.sum("n").over(key))
-        at = lambda p: F.min(F.when(F.col("upto") >= F.col("all") * p, F.col("bin")))
-        rows = q.groupBy(*by, "measure").agg(_bin_value(at(0.25)).alias("q1"), _bin_value(at(0.75)).alias("q3"), F.max("all").alias("seen"))
-        least = F.create_map(*[F.lit(x) for m, (_, _, s) in MEASURES.items() for x in (m, s)])
-        rows = rows.withColumn("upper", F.col("q3") + F.greatest(F.col("q3") - F.col("q1"), F.element_at(least, F.col("measure"))) * REACH)
-        return rows.groupBy(*by).agg(F.max("seen").alias("seen"), F.map_from_entries(F.collect_list(F.struct("measure", "upper"))).alias("upper"))
-
-    own = bounds(sketch, ["lang", "source"])
-    lang = bounds(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("seen").alias("l_seen"), F.col("upper").alias("l_upper"))
-    both = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")))
-    whole = bounds(sketch, []).select("upper").scalar()
-    pick = F.when(F.col("seen") >= SMALL, F.col("upper")).when(F.col("l_seen") >= SMALL, F.col("l_upper")).otherwise(whole)
-    return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), pick.alias("upper"))
+    """One row per language and source: the upper bound of each measure, from its shrunk sketch."""
+
+    def shares(w: DataFrame, by: list[str]) -> DataFrame:
+        return w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*by, "measure")))
+
+    def shrunk(by: list[str], toward: DataFrame, on: list[str]) -> DataFrame:
+        """Bin weights of groups: their own counts and those of SHRINK documents of the wider sketch (columns `on` and shares)."""
+        own = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").cast("double").alias("w"))
+        groups = own.select(*by, "measure").distinct()
+        wide = toward.select(*[F.col(c).alias(f"w_{c}") for c in on], F.col("measure").alias("w_measure"), "bin", (F.col("w") * SHRINK).alias("w"))
+        fits = F.col("measure") == F.col("w_measure")
+        for c in on:
+            fits = fits & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+        prior = groups.join(wide, fits).select(*by, "measure", "bin", "w")
+        return own.unionByName(prior).groupBy(*by, "measure", "bin").agg(F.sum("w").alias("w"))
+
+    whole = shares(sketch.groupBy("measure", "bin").agg(F.sum("n").cast("double").alias("w")), [])
+    lang = shares(shrunk(["lang"], whole, []), ["lang"])
+    by = ["lang", "source"]
+    merged = shrunk(by, lang, ["lang"])
+    key = Window.partitionBy(*by, "measure")
+    q = merged.withColumn("upto", F.sum("w").over(key.orderBy("bin"))).withColumn("all", F.sum("w").over(key))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.col("all") * (p - 1e-9), F.col("bin")))
+    rows = q.groupBy(*by, "measure").agg(_bin_value(at(0.25)).alias("q1"), _bin_value(at(0.75)).alias("q3"))
+    least = F.create_map(*[F.lit(x) for m, (_, _, s) in MEASURES.items() for x in (m, s)])
+    rows = rows.withColumn("upper", F.col("q3") + F.greatest(F.col("q3") - F.col("q1"), F.element_at(least, F.col("measure"))) * REACH)
+    rows = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("measure", "upper"))).alias("upper"))
+    return rows.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "upper")
 
 
 def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -183,7 +193,7 @@ def _judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept, broken."""
     counted = materialise(measured(docs, ["doc_id", "lang", "source"]), "quality-counts")
-    out = _judged(counted, thresholds(sketches(counted)))
+    out = _judged(counted, thresholds(materialise(sketches(counted), "quality-sketches")))
     return out.select("doc_id", *COUNTS[:5], "base_failed", "kept", F.array_join("broken", ",").alias("broken"), "lang", "source")
 
 
@@ -192,4 +202,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     counted = materialise(measured(docs, ["lang", "source"]), "quality-counts")
     again = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source")
     both = measured(again, ["row", "lang", "source"], "row.text")
-    return _judged(both, thresholds(sketches(counted))).filter("kept").select("row.*")
+    return _judged(both, thresholds(materialise(sketches(counted), "quality-sketches"))).filter("kept").select("row.*")
