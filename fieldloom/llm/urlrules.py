@@ -2,7 +2,8 @@
 
 Written rules are (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's; the
 longest that fits wins. URLs without one are judged by rules that FP-growth mines: each labelled page is a
-transaction of its URL's tokens and of its label; rules `tokens => block` with enough pages, confidence and lift stay. They
+transaction of its URL's tokens and of its label; rules `tokens => block` with enough support, certain confidence and lift stay. Tokens that
+stand in the same labelled pages are one item, so a long URL on many pages is one item, not a power of two of itemsets. Rules
 are matched by an inverted index from each rule's rarest token: a URL's tokens meet only the rules listed under them, and
 the rule fits if its other tokens are there as well.
 
@@ -16,6 +17,8 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +29,9 @@ from fieldloom.session import materialise
 #: verdict, host, path
 WRITTEN = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT = 0.002
-#: and at least so many labelled pages
-MIN_PAGES = 25
 MIN_CONFIDENCE = 0.6
+#: Standard normal quantile of the certainty with which a rule's confidence has to be MIN_CONFIDENCE.
+Z = 1.96
 MIN_LIFT = 1.5
 RULES_BROADCAST = 50_000
 BLOCK = "=block"
@@ -74,23 +77,59 @@ def tokens(url: Column) -> Column:
     )
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """pages(page_id, url), labels(page_id, block) -> rules: rule (id), needs (tokens), key (rarest token), confidence, lift, support."""
+def sure_share(hits: Column, n: Column) -> Column:
+    """Wilson's lower bound (95 %) of a share of which hits of n were seen."""
+    z2 = Z * Z
+    return (hits + z2 / 2 - Z * F.sqrt(hits * (n - hits) / n + z2 / 4)) / (n + z2)
+
+
+def merged_items(sets: DataFrame, least: int, n: int) -> DataFrame:
+    """(item, members): tokens of `least` pages or more that stand in the same pages are one item; those of all n pages tell nothing.
+
+    Without this, each of k tokens that come together would double the itemsets. Page sets are compared by their
+    size and two sums of hashes; an item has no more members than one URL has tokens.
+    """
+    each = sets.select(F.explode("t").alias("token"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)).alias("x"), F.pmod(F.xxhash64(F.lit(1), "page_id", "url"), F.lit(1 << 40)).alias("y"))
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y")).filter((F.col("c") >= least) & (F.col("c") < n))
+    return seen.groupBy("c", "x", "y").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members"))
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """pages(page_id, url), labels(page_id, block) -> rules: rule (id), needs (tokens), key (rarest token), confidence, lift, support.
+
+    Transactions are the distinct labelled (page_id, url). A rule stays if its block share is min_confidence or more with 95 % certainty
+    (Wilson's lower bound), at least min_lift times that of all, and if it holds for min_support of all. No rule of fewer than
+    z^2 c / (1 - c) pages can pass the first of these, so FP-growth need not look below.
+    """
     spark = pages.sparkSession
     by_page = labels.groupBy("page_id").agg(F.max("block").alias("block"))
-    sets = pages.select("page_id", tokens(F.col("url")).alias("t")).filter(F.size("t") > 0).join(by_page, "page_id")
-    sets = materialise(sets.select(F.when(F.col("block"), F.concat("t", F.array(F.lit(BLOCK)))).otherwise(F.col("t")).alias("items")), "url-sets")
+    sets = pages.select("page_id", "url").distinct().select("page_id", "url", tokens(F.col("url")).alias("t")).filter(F.size("t") > 0).join(by_page, "page_id")
+    sets = materialise(sets, "url-sets")
     n = sets.count()
     empty = "rule string, needs array<string>, key string, confidence double, lift double, support double"
     if n == 0:
         return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(sets)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("needs"), "confidence", "lift", "support").withColumn("rule", F.array_join("needs", " "))
-    # the rarest token of a rule is its key in the index
-    seen = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    keyed = rules.select("rule", F.explode("needs").alias("token")).join(seen, "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return materialise(rules.join(keyed, "rule").select("rule", "needs", "key", "confidence", "lift", "support"), "url-rules")
+    least = max(math.ceil(Z * Z * min_confidence / (1 - min_confidence)), math.ceil(min_support * n))
+    items = materialise(merged_items(sets, least, n), "url-items")
+    by_token = bounded_broadcast(items.select("item", F.explode("members").alias("token")), RULES_BROADCAST)
+    some = sets.select("page_id", "url", F.explode("t").alias("token")).join(by_token, "token").groupBy("page_id", "url").agg(F.collect_set("item").alias("items"))
+    both = sets.select("page_id", "url", "block").join(some, ["page_id", "url"])
+    both = materialise(both.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "url-transactions")
+    # support is of all labelled pages; those without a frequent item are in no itemset
+    left = both.count()
+    if left == 0:
+        return spark.createDataFrame([], empty)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / left), minConfidence=min_confidence).fit(both)
+    blocked = sets.filter("block").count()
+    rules = model.associationRules.filter(F.element_at("consequent", 1) == BLOCK)
+    hits = F.round(F.col("support") * left)
+    rules = rules.withColumn("hits", hits).withColumn("pages", F.round(F.col("hits") / F.col("confidence"))).withColumn("lift", F.col("confidence") * n / max(1, blocked))
+    rules = rules.filter((F.col("lift") >= min_lift) & (F.col("hits") >= min_support * n) & (sure_share(F.col("hits"), F.col("pages")) >= min_confidence))
+    rules = rules.withColumn("id", F.array_join(F.array_sort("antecedent"), " "))
+    # items back to their tokens; the rarest is the rule's key in the index
+    parts = rules.select("id", F.explode("antecedent").alias("item")).join(items, "item").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("needs"), F.min_by("item", F.struct("c", "item")).alias("key"))
+    out = rules.join(parts, "id").withColumn("support", F.col("hits") / n)
+    return materialise(out.select(F.array_join("needs", " ").alias("rule"), "needs", "key", "confidence", "lift", "support"), "url-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

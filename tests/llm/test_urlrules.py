@@ -57,18 +57,28 @@ def test_mined_rules_equal_brute_force(spark):
             marks.append((i, bad ^ (i % 40 == 1)))
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame(marks, "page_id long, block boolean")
-    got = {tuple(r.needs): (round(r.confidence, 9), round(r.support, 9)) for r in urlrules.mine(pages, labels).collect()}
-    sets = [(set(r.t), dict(marks)[r.page_id]) for r in pages.select("page_id", urlrules.tokens(F.col("url")).alias("t")).collect() if r.page_id < 200]
-    base = sum(b for _, b in sets) / len(sets)
-    seen, hits = Counter(), Counter()
-    for t, block in sets:
+    rules = urlrules.mine(pages, labels).collect()
+    sets = {r.page_id: (set(r.t), dict(marks)[r.page_id]) for r in pages.select("page_id", urlrules.tokens(F.col("url")).alias("t")).collect() if r.page_id < 200}
+    base = sum(b for _, b in sets.values()) / len(sets)
+    where, blocked = {}, {i for i, (_, b) in sets.items() if b}
+    for i, (t, _) in sets.items():
         for k in range(1, len(t) + 1):
             for c in combinations(sorted(t), k):
-                seen[c] += 1
-                hits[c] += block
-    least = max(0.002 * 200, 25)
-    want = {c: (round(hits[c] / n, 9), round(hits[c] / 200, 9)) for c, n in seen.items() if hits[c] >= least and hits[c] / n >= 0.6 and hits[c] / n / base >= 1.5}
-    assert got == want and want
+                where.setdefault(c, set()).add(i)
+
+    def passes(p):
+        n, hits = len(p), len(p & blocked)
+        sure = (hits + 1.96**2 / 2 - 1.96 * (hits * (n - hits) / n + 1.96**2 / 4) ** 0.5) / (n + 1.96**2)
+        return hits >= 0.002 * 200 and sure >= 0.6 and hits / n / base >= 1.5
+
+    # itemsets of the same pages are one rule: what matters is which sets of pages rules tell
+    want = {c for c, p in where.items() if passes(p)}
+    got = {frozenset(where[tuple(r.needs)]) for r in rules}
+    assert got == {frozenset(where[c]) for c in want} and want
+    for r in rules:
+        p = where[tuple(r.needs)]
+        assert (round(r.confidence, 9), round(r.support, 9)) == (round(len(p & blocked) / len(p), 9), round(len(p & blocked) / 200, 9))
+    want = {tuple(r.needs) for r in rules}
     # matching through the index: a page is blocked if, and only if, some rule's tokens are all there
     tokens = {r.page_id: set(r.t) for r in pages.select("page_id", urlrules.tokens(F.col("url")).alias("t")).collect()}
     for r in urlrules.judge(pages, labels).collect():
@@ -82,3 +92,12 @@ def test_empty_tables_and_native_plan(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_long_url_on_many_pages_is_one_item(spark):
+    url = "http://deep.example.org/" + "/".join(f"s{i}" for i in range(40))
+    pages = spark.createDataFrame([(i, url) for i in range(50)] + [(100 + i, f"http://other.org/{i}") for i in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < 50) for i in [*range(50), *range(100, 160)]], "page_id long, block boolean")
+    rules = urlrules.mine(pages, labels).collect()
+    assert len(rules) == 1 and rules[0].confidence == 1.0 and len(rules[0].needs) > 40
+    assert {r.verdict for r in urlrules.judge(pages, labels).filter("page_id < 50").collect()} == {"block"}
