@@ -4,9 +4,11 @@ Three base patterns are searched in whole texts. On top of them, runs of base64
 decoded and parsed: a span is reported only if its bytes are what they claim to be.
 
 * jwt - a signed token: its header is base64url JSON with a string `alg`, its payload base64url JSON, a third part follows;
-* der - base64 (of either alphabet, also wrapped into lines or inside a longer run) or hex of an ASN.1 SEQUENCE whose nested lengths fit exactly and that begins with an INTEGER or a SEQUENCE
-  (PKCS#1, PKCS#8, SEC 1 and X.509 keys all do);
-* ssh - base64 of length-prefixed fields (SSH wire format, or an openssh-key-v1 container) that use up all bytes;
+* der - base64 (of either alphabet, also wrapped into lines or inside a longer run) or hex of an ASN.1 SEQUENCE whose nested lengths fit exactly and
+  that has the shape of a private key: PKCS#1, DSA, SEC 1, or PKCS#8 with a key's identifier, plain or encrypted. Signatures, public keys and
+  certificates are no secrets and aren't reported;
+* ssh - base64 of a private key in SSH wire format (a known name and as many length-prefixed fields as private keys have), or of an openssh-key-v1
+  container whose parts fit;
 * pem - a BEGIN/END block of a private key whose body is base64 of DER or of an openssh-key-v1 container. Line ends may be escaped (\\n
   in JSON). With a DEK-Info header the body is encrypted: whole blocks of eight bytes. The block may itself be base64.
 
@@ -35,6 +37,13 @@ HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 #: Runs of base64 of at least so many characters are decoded (24 bytes: no key is shorter).
 LEAST = 32
+MAGIC = b"openssh-key-v1\0"
+#: Identifiers (DER contents) of key algorithms in PKCS#8 (RSA, RSA-PSS, DH, DSA, EC, X25519 to Ed448), and of
+#: password-based encryption (PKCS#5, PKCS#12).
+KEY_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a864886f70d01010a", "2a864886f70d010301", "2a8648ce380401", "2a8648ce3d0201", "2b656e", "2b656f", "2b6570", "2b6571"))
+LOCK_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d0105", "2a864886f70d010c01"))
+#: Fields of a private key in SSH wire format, its name included (public keys have fewer).
+PRIVATE_FIELDS = {"ssh-rsa": 7, "ssh-dss": 6, "ssh-ed25519": 3, "ecdsa-sha2-nistp256": 4, "ecdsa-sha2-nistp384": 4, "ecdsa-sha2-nistp521": 4}
 B64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 #: Lines of one base64 text: two or more, of which the first are of at least so many characters.
 B64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:(?:\\r)?(?:\\n)[A-Za-z0-9+/_-]+|[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={{0,2}}")
@@ -87,25 +96,76 @@ def _der_inside(data: bytes, depth: int) -> bool:
     return at == len(data)
 
 
+def _children(data: bytes) -> list[tuple[int, bytes]]:
+    """Tags and contents of the values inside a constructed value whose lengths fit."""
+    at, out = 2 if data[1] < 0x80 else 2 + (data[1] & 0x7F), []
+    while at < len(data):
+        end = _der_end(data, at)
+        head = 2 if data[at + 1] < 0x80 else 2 + (data[at + 1] & 0x7F)
+        out.append((data[at], data[at + head : end]))
+        at = end
+    return out
+
+
 def der_key(data: bytes) -> bool:
-    """A SEQUENCE that fits exactly, holds at least two values and begins with an INTEGER or a SEQUENCE."""
+    """A SEQUENCE that fits exactly and has the shape of a private key: PKCS#1, DSA, SEC 1, or PKCS#8 (plain or encrypted) with a key's identifier."""
     if len(data) < 24 or data[0] != 0x30 or not der_fits(data):
         return False
-    at = 2 if data[1] < 0x80 else 2 + (data[1] & 0x7F)
-    return at < len(data) and data[at] in (0x02, 0x30) and _der_end(data, at) < len(data)
+    parts = _children(data)
+    tags, values = [t for t, _ in parts], [v for _, v in parts]
+
+    def names(seq: bytes, known: tuple[bytes, ...]) -> bool:
+        inside = _children(b"\x30\x00" + seq) if seq else []
+        return bool(inside) and inside[0][0] == 0x06 and inside[0][1].startswith(known)
+
+    if tags == [0x02] * 9 and values[0] == b"\0" or len(tags) == 10 and tags[:9] == [0x02] * 9 and tags[9] == 0x30 and values[0] == b"\1":
+        return True  # PKCS#1, of two primes or more
+    if tags == [0x02] * 6 and values[0] == b"\0":
+        return True  # DSA
+    if tags[:2] == [0x02, 0x04] and values[0] == b"\1" and len(values[1]) >= 16 and set(tags[2:]) <= {0xA0, 0xA1}:
+        return True  # SEC 1
+    if tags[:3] == [0x02, 0x30, 0x04] and values[0] in (b"\0", b"\1") and set(tags[3:]) <= {0xA0, 0x81, 0xA1}:
+        return names(values[1], KEY_OIDS)
+    return tags == [0x30, 0x04] and len(values[1]) >= 16 and names(values[0], LOCK_OIDS)
+
+
+def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Fields behind four-byte lengths (count of them, or all to the end) and where they end."""
+    out: list[bytes] = []
+    while len(out) < count if count is not None else at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data) or at + 4 + n > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out, at
+
+
+def ssh_container(data: bytes) -> bool:
+    """openssh-key-v1: cipher, kdf and its options, as many public keys as said, and one private block that ends the data.
+
+    Its size is whole cipher blocks; if nothing is encrypted, it begins with one check number twice.
+    """
+    if not data.startswith(MAGIC) or (head := _fields(data, len(MAGIC), 3)) is None:
+        return False
+    (cipher, kdf, options), at = head
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or (cipher == b"none") != (kdf == b"none") or (kdf == b"none") != (not options) or not 1 <= keys <= 64:
+        return False
+    rest = _fields(data, at + 4, keys + 1)
+    if rest is None or rest[1] != len(data):
+        return False
+    *public, private = rest[0]
+    named = all((f := _fields(k, 0)) is not None and f[0] and f[0][0].decode("latin-1") in PRIVATE_FIELDS for k in public)
+    return named and len(private) >= 16 and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
 
 
 def ssh_key(data: bytes) -> bool:
-    """SSH wire format: named fields with four-byte lengths that use up all bytes, or the OpenSSH container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return len(data) > 40
-    at, fields = 0, 0
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data) or (fields == 0 and not (4 <= n <= 64 and re.fullmatch(rb"[a-z0-9@.-]+", data[4 : 4 + n]))):
-            return False
-        at, fields = at + 4 + n, fields + 1
-    return at == len(data) and fields >= 2
+    """A private key in SSH wire format (a known name and as many fields as private keys have, to the end), or the OpenSSH container."""
+    if data.startswith(MAGIC):
+        return ssh_container(data)
+    found = _fields(data, 0)
+    return found is not None and bool(found[0]) and len(found[0]) >= PRIVATE_FIELDS.get(found[0][0].decode("latin-1"), 1 << 30)
 
 
 def _b64(text: str) -> bytes | None:
@@ -149,7 +209,8 @@ def _key_at(run: str, at: int, ends: list[int]) -> tuple[int, str] | None:
     if run[at] == "A":
         head = _b64(run[at : at + 96]) or b""
         n = int.from_bytes(head[:4], "big")
-        if not 4 <= n <= 64 or not re.fullmatch(rb"[a-z0-9@.-]+", head[4 : 4 + n]):
+        least = PRIVATE_FIELDS.get(head[4 : 4 + n].decode("latin-1"))
+        if least is None:
             return None
     own = run[at : len(run) - ((len(run) - at) % 4 == 1)]
     if (raw := _b64(own)) is None or len(raw) < 24:
@@ -162,7 +223,7 @@ def _key_at(run: str, at: int, ends: list[int]) -> tuple[int, str] | None:
     fits, end, fields = set(), 0, 0
     while end + 4 <= len(raw):
         end, fields = end + 4 + int.from_bytes(raw[end : end + 4], "big"), fields + 1
-        if fields > 1:
+        if fields >= least:
             fits.add(end)
     return next(((e, "ssh") for e in reversed(ends) if e > at and (e - at) % 4 != 1 and (size := (e - at) * 3 // 4) in fits and size >= 24), None)
 

@@ -107,9 +107,35 @@ def test_ssh_keys_by_their_lengths():
     def field(b):
         return struct.pack(">I", len(b)) + b
 
-    raw = field(b"ssh-ed25519") + field(bytes(range(32)))
-    assert kinds("ssh-ed25519 " + b64(raw) + " me") == ["ssh"]
-    assert kinds("ssh-ed25519 " + b64(raw[:-3] + b"") + " me") == []
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    private = public + field(bytes(range(64)))
+    assert kinds("key " + b64(private) + " me") == ["ssh"]
+    assert kinds("key " + b64(private[:-3]) + " me") == []
+    assert kinds("ssh-ed25519 " + b64(public) + " me") == []  # a public key is no secret
+
+    def container(cipher=b"none", kdf=b"none", options=b"", check=b"abcd", more=b""):
+        inside = check + b"abcd" + private + field(b"me")
+        inside += bytes(range(1, 1 + -len(inside) % 8))
+        return b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(options) + struct.pack(">I", 1) + field(public) + field(inside) + more
+
+    assert kinds("see " + b64(container())) == ["ssh"]
+    assert kinds("see " + b64(container(b"aes256-ctr", b"bcrypt", b"x" * 24, b"zzzz"))) == ["ssh"]
+    for bad in (container(check=b"zzzz"), container(more=b"x"), container(kdf=b"bcrypt"), b"openssh-key-v1\0" + bytes(range(60))):
+        assert kinds("see " + b64(bad)) == []
+
+
+def test_what_is_no_private_key_is_not_reported():
+    signature = tlv(0x30, number("r", 31) + number("s", 31))
+    public = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d010101")) + tlv(5, b"")) + tlv(3, b"\0" + tlv(0x30, number("n", 255) + tlv(2, b"\1\0\1"))))
+    certificate = tlv(0x30, tlv(0x30, tlv(2, b"\5") + public) + tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01010b"))) + tlv(3, b"\0" + bytes(range(128))))
+    other = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x55\x04\x03")) + tlv(4, bytes(range(64))))
+    for raw in (signature, public, certificate, other):
+        assert kinds(f"see {b64(raw)} and {raw.hex()}") == []
+    sec1 = tlv(0x30, tlv(2, b"\1") + tlv(4, bytes(range(32))) + tlv(0xA0, tlv(6, bytes.fromhex("2a8648ce3d030107"))))
+    locked = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, b"")) + tlv(4, bytes(range(64))))
+    dsa = tlv(0x30, tlv(2, b"\0") + b"".join(number(f"d{i}", 40) for i in range(5)))
+    for raw in (sec1, locked, dsa, KEY, PKCS8):
+        assert kinds(f"see {b64(raw)} x") == ["der"] == kinds(f"see {raw.hex()} x")
 
 
 def test_signed_tokens():
@@ -162,14 +188,14 @@ def test_keys_in_other_encodings():
     assert kinds(json.dumps(locked)) == ["pem"]
     assert kinds(locked.replace(head, "")) == []
     # base64url, with - and _ in it
-    key = next(k for i in range(99) if "-" in (k := base64.urlsafe_b64encode(tlv(0x30, tlv(2, b"\0") + number(f"u{i}", 300))).decode()) and "_" in k)
+    key = next(k for i in range(99) if "-" in (k := base64.urlsafe_b64encode(tlv(0x30, tlv(2, b"\0") + b"".join(number(f"u{i}{j}", 40) for j in range(8)))).decode()) and "_" in k)
     assert secrets.redact(f"see {key} here") == "see [secret] here"
     # wrapped without armour, in two widths and with a word after it
     for width in (64, 76):
         for after in ("", "\nend of it"):
             assert kinds(f"see\n{wrapped(b64(KEY), width=width)}{after}") == ["der"]
     assert secrets.redact(f"see\n{wrapped(b64(KEY))}\n\nend") == "see\n[secret]\n\nend"
-    ssh = b64(field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(256)) + b"\7"))
+    ssh = b64(field(b"ssh-rsa") + b"".join(field(bytes(range(i, 128)) + b"\7") for i in range(6)))
     assert kinds(f"ssh-rsa\n{wrapped(ssh)}\nme") == ["ssh"]
     # glued to what stands before
     for before in ("/", "key/", "x", "A"):
