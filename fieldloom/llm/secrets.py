@@ -165,7 +165,9 @@ def ssh_key(data: bytes) -> bool:
     if data.startswith(MAGIC):
         return ssh_container(data)
     found = _fields(data, 0)
-    return found is not None and bool(found[0]) and len(found[0]) >= PRIVATE_FIELDS.get(found[0][0].decode("latin-1"), 1 << 30)
+    if found is None or not found[0] or len(found[0]) < PRIVATE_FIELDS.get(found[0][0].decode("latin-1"), 1 << 30):
+        return False
+    return found[0][0] != b"ssh-ed25519" or [len(x) for x in found[0][1:3]] == [32, 64]
 
 
 def _b64(text: str) -> bytes | None:
@@ -225,7 +227,7 @@ def _key_at(run: str, at: int, ends: list[int]) -> tuple[int, str] | None:
         end, fields = end + 4 + int.from_bytes(raw[end : end + 4], "big"), fields + 1
         if fields >= least:
             fits.add(end)
-    return next(((e, "ssh") for e in reversed(ends) if e > at and (e - at) % 4 != 1 and (size := (e - at) * 3 // 4) in fits and size >= 24), None)
+    return next(((e, "ssh") for e in reversed(ends) if e > at and (e - at) % 4 != 1 and (size := (e - at) * 3 // 4) in fits and size >= 24 and ssh_key(raw[:size])), None)
 
 
 def _encoded(text: str) -> list[tuple[int, int, str]]:
