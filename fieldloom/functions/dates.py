@@ -70,9 +70,15 @@ def clock_text(minutes: Column) -> Column:
 
 
 def age_text(seconds: Column) -> Column:
-    """Coarse age, never below 0."""
+    """Coarse age, never below 0; - if it isn't known."""
     s = F.greatest(F.lit(0), seconds)
-    return F.when(s < 60, F.concat(F.lit("vor "), s.cast("int"), F.lit(" s"))).when(s < 3600, F.concat(F.lit("vor "), F.floor(s / 60), F.lit(" min"))).when(s < 86400, F.concat(F.lit("vor "), F.floor(s / 3600), F.lit(" h"))).otherwise(F.concat(F.lit("vor "), F.floor(s / 86400), F.lit(" d")))
+    whole = lambda n, unit: F.concat(F.lit("vor "), F.floor(s / n), F.lit(f" {unit}"))
+    return F.when(seconds.isNull(), "-").when(s < 60, "gerade eben").when(s < 3600, whole(60, "min")).when(s < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+
+
+def axis_clock(ts: Column, with_date: Column) -> Column:
+    """HH:MM in UTC, or MM-DD HH:MM where a span crosses days."""
+    return F.when(with_date, F.date_format(ts, "MM-dd HH:mm")).otherwise(F.date_format(ts, "HH:mm"))
 
 
 def first_date(text: Column) -> Column:

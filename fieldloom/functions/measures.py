@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 #: Rank of a source of opening hours.
-SOURCE_RANK = {"eaip": 4, "ocr": 3, "openaip": 2, "osm": 1}
+SOURCE_RANK = {"eaip": 4, "dfs-ocr-hours": 3, "pdf-ocr-hours": 3, "openaip": 2, "osm": 1}
 
 
 def round_up_half(x: Column, digits: int = 0) -> Column:
@@ -26,14 +26,14 @@ def ladder(value: Column, warn: float, crit: float) -> Column:
 
 
 def percent(x: Column) -> Column:
-    """0..1 is a share (so 1 is 100 %), up to 100 a percentage, anything else unknown."""
-    return F.when((x >= 0) & (x <= 1), x * 100).when((x > 1) & (x <= 100), x)
+    """0..1 is a share (so 1 is 100 %), up to 100 a percentage, anything else unknown; one digit, halves to even."""
+    return F.when((x >= 0) & (x <= 1), F.bround(x * 100, 1)).when((x > 1) & (x <= 100), F.bround(x, 1))
 
 
 def source_rank(source: Column) -> Column:
     out = F.lit(0)
     for name, rank in SOURCE_RANK.items():
-        out = F.when(F.lower(source) == name, rank).otherwise(out)
+        out = F.when(source == name, rank).otherwise(out)
     return out
 
 
@@ -69,13 +69,41 @@ def feet(metres: Column, half_even: bool = False) -> Column:
     return (round_half_even(x) if half_even else round_up_half(x)).cast("int")
 
 
+#: What free text says of a surface; the first class that fits counts.
+SURFACE_WORDS = (
+    ("paved", "asp|asph|concrete|conc|pav|bitum|seal|tar|paved|pem"),
+    ("grass", "gras|turf|grn|lawn"),
+    ("loose", "grav|gvl|dirt|earth|sand|clay|coral|later|murram|soil"),
+    ("water", "water"),
+    ("snow", "snow|ice"),
+)
+#: The other reading of paved, for the map's filter (they differ on purpose).
+HARD_SURFACE = "(?i)asp|con|pem|bit|tarmac|paved|seal|macadam"
+
+
 def surface_class(surface: Column) -> Column:
-    """First class that fits, in this order."""
-    s = F.lower(surface)
-    return F.when(s.rlike("asp|con|bit|pav|tar"), "paved").when(s.rlike("gras|turf|sod"), "grass").when(s.rlike("grav|dirt|sand|earth"), "unpaved").when(s.rlike("water"), "water").otherwise("other")
+    """First class that fits; other if none does, or without text."""
+    s = F.coalesce(F.lower(surface), F.lit(""))
+    return F.coalesce(*[F.when(s.rlike(words), F.lit(name)) for name, words in SURFACE_WORDS], F.lit("other"))
+
+
+def general(value: Column) -> Column:
+    """Six significant digits without trailing zeros."""
+    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-4)))).cast("int"))
+    text = F.format_string("%.12f", F.expr("0.0") + F.when(digits >= 0, F.round(value * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)))
+    return F.regexp_replace(text, r"\.?0+$", "")
 
 
 def formatted(value: Column, unit: Column) -> Column:
-    """Bytes in steps of 1024, percentages and seconds with one digit, else the number."""
-    b = F.when(value < 1024, F.format_string("%.0f B", value)).when(value < 1024**2, F.format_string("%.1f KB", value / 1024)).when(value < 1024**3, F.format_string("%.1f MB", value / 1024**2)).otherwise(F.format_string("%.1f GB", value / 1024**3))
-    return F.when(unit == "bytes", b).when(unit == "percent", F.format_string("%.1f %%", value)).when(unit == "s", F.format_string("%.1f s", value)).otherwise(F.format_string("%.2f", value))
+    """Bytes in steps of 1024 up to TB with one digit; percentages, seconds and other numbers in general form with their unit; - for none."""
+    steps = F.lit(None).cast("string")
+    for i, name in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+        text = F.format_string(f"%.1f {name}", value / float(1024**i))
+        steps = text if name == "TB" else F.when(value < float(1024 ** (i + 1)), text).otherwise(steps)
+    other = F.when(unit == "pct", F.concat(general(value), F.lit(" %"))).when(F.coalesce(unit, F.lit("")) == "", general(value)).otherwise(F.concat(general(value), F.lit(" "), unit))
+    return F.when(value.isNull(), "-").when(unit == "bytes", steps).otherwise(other)
+
+
+def runway_ends(ident: Column) -> Column:
+    """Headings of a runway's ends (06/24L), each once, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(ident, "/"), runway_heading), lambda h: h.isNotNull())))

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How editions are named in links; the first that gives a real day wins.
+#: How editions are named in links, and in which groups their year, month and day stand; the first that gives a real day wins.
 EDITION_PATTERNS = (
-    (r"(\d{4})-(\d{2})-(\d{2})", "ymd"),
-    (r"(\d{4})_(\d{2})_(\d{2})", "ymd"),
-    (r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", "ymd"),
-    (r"(\d{2})\.(\d{2})\.(\d{4})", "dmy"),
-    (r"(\d{2})-(\d{2})-(\d{4})", "dmy"),
-    (r"(?<!\d)(\d{2})-(\d{2})-(\d{2})(?!\d)", "ymd"),
+    (r"(?i)(\d{4})-(\d{2})-(\d{2})-(?:NON-)?AIRAC", "ymd"),
+    (r"(?i)AIRAC-(\d{4})-(\d{2})-(\d{2})", "ymd"),
+    (r"_(\d{4})_(\d{2})_(\d{2})[/\\]", "ymd"),
+    (r"(?i)/lo/(\d{2})(\d{2})(\d{2})/", "ymd"),
+    (r"/(\d{4})([A-Z]{3})(\d{2})/", "ymd"),
+    (r"(?i)_wef_(\d{2})([a-z]{3})(\d{4})", "dmy"),
+    (r"(?i)_EFF_(\d{2})([A-Z]{3})(\d{4})", "dmy"),
+    (r"(?i)/(\d{2})-(\d{2})-(\d{2})-(?:NON-)?AIRAC", "ymd"),
+    (r"/(\d{4})-(\d{2})-(\d{2})/", "ymd"),
 )
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def edition_date(url: Column) -> Column:
-    """Date in a link, by the first pattern that gives one; two-digit years are of this century."""
+    """Date of the edition that a link names, by the first shape that gives one; two-digit years are of this century."""
+    named = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")])
     found = []
     for pattern, order in EDITION_PATTERNS:
         part = {k: F.regexp_extract(url, pattern, i + 1) for i, k in enumerate(order)}
         year = F.when(F.length(part["y"]) == 2, F.concat(F.lit("20"), part["y"])).otherwise(part["y"])
-        found.append(F.try_to_date(F.concat_ws("-", year, part["m"], part["d"]), "yyyy-MM-dd"))
+        month = F.coalesce(F.try_element_at(named, F.lower(part["m"])), part["m"])
+        found.append(F.try_to_date(F.concat_ws("-", year, month, part["d"]), "yyyy-MM-dd"))
     return F.coalesce(*found)
 
 
@@ -58,20 +64,34 @@ def links(html: Column) -> Column:
 
 
 def largest_image(html: Column) -> Column:
-    """Bytes of the longest embedded PNG."""
-    all_ = F.regexp_extract_all(html, F.lit(r"data:image/png;base64,([A-Za-z0-9+/=]+)"), 1)
-    return F.unbase64(F.get(F.array_sort(all_, lambda a, b: F.length(b) - F.length(a)), F.lit(0)))
+    """Bytes of the embedded PNG that decodes to most; broken ones are passed over."""
+    all_ = F.transform(F.regexp_extract_all(html, F.lit(r"data:image/png;base64,([A-Za-z0-9+/=]+)"), 1), lambda x: F.try_to_binary(x, F.lit("base64")))
+    return F.aggregate(all_, F.lit(None).cast("binary"), lambda best, x: F.when(F.coalesce(F.length(x), F.lit(0)) > F.coalesce(F.length(best), F.lit(0)), x).otherwise(best))
 
 
-def truncated(text: Column, most: int) -> Column:
-    """At most so many characters, cut before a word that doesn't fit."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit("…")))
+def truncated(text: Column, most: int = 4000, reach: int = 200) -> Column:
+    """At most so many characters and an ellipsis: cut at the last space if that is among the last `reach` characters."""
+    cut = F.substring(text, 1, most)
+    space = F.lit(most) - F.locate(" ", F.reverse(cut))  # index of the last space, most if there is none
+    trimmed = F.rtrim(F.when((F.locate(" ", cut) > 0) & (space > most - reach), F.substring(cut, F.lit(1), space)).otherwise(cut))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(trimmed, F.lit(" …")))
+
+
+#: Titles that name a chart or a section, not a place.
+CHART_NAMES = "(?i)^(VAC|IAC|ADC|AOC|APDC|GMC|PATC|SID|STAR|SMAC|PDC|LDG|TAXI|PARK|GROUND|OACI|VFR|IFR|AD|HEL)$"
+SECTION_NAMES = r"(?i)charts?\s+related|aerodrome\s+data|aeronautical\s+data|koskevat\s+kartat|see\s+alerts|\bAD\s*[23]\.\d"
+
+
+def place_name(title: Column, code: Column) -> Column:
+    """A title without the code at its end."""
+    t, c = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(code, F.lit("")))
+    return F.when((c != "") & F.upper(t).endswith(F.upper(c)), F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(c)))).otherwise(t)
 
 
 def bad_title(title: Column, code: Column) -> Column:
-    """Titles that are empty, a code, or begin with their code."""
-    t = F.trim(F.coalesce(title, F.lit("")))
-    return (t == "") | t.rlike("^[A-Z]{4}$") | F.coalesce(F.upper(t).startswith(F.concat(F.upper(code), F.lit(" "))), F.lit(False))
+    """Titles whose name part is empty, a chart's designator or a section's heading."""
+    n = place_name(title, code)
+    return (n == "") | n.rlike(CHART_NAMES) | n.rlike(SECTION_NAMES)
 
 
 def code_guards(code: Column) -> Column:
@@ -85,10 +105,10 @@ def phone(text: Column) -> Column:
     return F.when(F.regexp_count(found, F.lit("[0-9]")).between(7, 15), F.trim(found))
 
 
-def language_vote(text: Column, german: str, english: str) -> Column:
-    """de if markers and umlauts of German are more than markers of English, else en."""
-    de = F.regexp_count(F.lower(text), F.lit(german)) + F.regexp_count(F.lower(text), F.lit("[äöüß]"))
-    return F.when(de > F.regexp_count(F.lower(text), F.lit(english)), "de").otherwise("en")
+def language_vote(text: Column, german: str, english: str, glyphs: str = "[äöüßÄÖÜ]") -> Column:
+    """de if markers and umlauts of German are more than markers of English, else en; ties and no text are en."""
+    count = lambda p: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p))
+    return F.when(count(german) + count(glyphs) > count(english), "de").otherwise("en")
 
 
 def json_strings(text: Column, fields: tuple[str, ...]) -> Column:
@@ -108,15 +128,17 @@ def _name(c: Column) -> str:
 
 
 def dimensions(text: Column) -> Column:
-    """struct(length, width) of LxW."""
-    p = F.split(F.lower(text), "x")
-    return F.struct(F.get(p, F.lit(0)).try_cast("int").alias("length"), F.get(p, F.lit(1)).try_cast("int").alias("width"))
+    """struct(length, width) of LxW; a part that isn't all digits is unknown."""
+    p = F.split(F.coalesce(text, F.lit("")), "x")
+    whole = lambda i: F.when(F.get(p, F.lit(i)).rlike("^[0-9]+$"), F.get(p, F.lit(i)).try_cast("int"))
+    return F.struct(whole(0).alias("length"), whole(1).alias("width"))
 
 
 def frequencies(text: Column) -> Column:
-    """TYPE,MHZ;TYPE,MHZ as structs; pairs without a number are left out and numbers stay text."""
+    """TYPE,MHZ;TYPE,MHZ as structs; pairs without a type or a frequency are left out and frequencies stay text."""
     pairs = F.transform(F.split(text, ";"), lambda x: F.split(x, ","))
-    return F.transform(F.filter(pairs, lambda p: (F.size(p) == 2) & p[1].rlike(r"^\d+(\.\d+)?$")), lambda p: F.struct(F.trim(p[0]).alias("type"), p[1].alias("mhz")))
+    part = lambda p, i: F.trim(F.coalesce(F.get(p, F.lit(i)), F.lit("")))
+    return F.transform(F.filter(pairs, lambda p: (part(p, 0) != "") & (part(p, 1) != "")), lambda p: F.struct(part(p, 0).alias("type"), part(p, 1).alias("mhz")))
 
 
 def first_known(arrays: list[Column]) -> Column:
@@ -126,3 +148,44 @@ def first_known(arrays: list[Column]) -> Column:
 
 def full_week(array: Column) -> Column:
     return F.when(F.size(array) == 7, array)
+
+
+def json_text(doc: Column, path: str, most: int | None = None) -> Column:
+    """A string field of parsed JSON (not a number's text), cut to `most` characters; null for any other type."""
+    v = F.try_variant_get(doc, path, "variant")
+    own = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(doc, path, "string"))
+    return F.substring(own, 1, most) if most else own
+
+
+def json_number(doc: Column, path: str) -> Column:
+    """A numeric field of parsed JSON; null for any other type."""
+    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(doc, path, "double"))
+
+
+#: What a beacon may report, and from where on a value is absurd.
+VITALS, ABSURD = ("LCP", "CLS", "INP", "FCP", "TTFB"), 3_600_000
+
+
+def beacons(df: DataFrame, raw: str) -> DataFrame:
+    """Page-view beacons as wide rows: paths of the own site only, known metrics with values that can be; rows with none of them drop out."""
+    from fieldloom.functions.measures import round_up_half
+
+    doc = F.try_parse_json(raw)
+    out = df.withColumn("_doc", doc).withColumn("url", json_text(F.col("_doc"), "$.url", 256)).filter(F.col("url").startswith("/"))
+    for m in VITALS:
+        v = json_number(F.col("_doc"), f"$.metrics.{m}")
+        out = out.withColumn(m.lower(), F.when((v >= 0) & (v < ABSURD), round_up_half(v, 3)))
+    known = F.coalesce(*[F.col(m.lower()) for m in VITALS]).isNotNull()
+    out = out.filter(known).withColumn("nav", F.nullif(json_text(F.col("_doc"), "$.nav", 32), F.lit(""))).withColumn("conn", F.nullif(json_text(F.col("_doc"), "$.conn", 16), F.lit("")))
+    return out.drop("_doc", raw)
+
+
+def client_errors(df: DataFrame, raw: str) -> DataFrame:
+    """Error beacons: bounded texts, whole numbers from 0 on; rows without a message or a path of the own site drop out."""
+    some = lambda path, most: F.nullif(json_text(F.col("_doc"), path, most), F.lit(""))
+    whole = lambda path: F.when(json_number(F.col("_doc"), path) >= 0, F.floor(json_number(F.col("_doc"), path)))
+    out = df.withColumn("_doc", F.try_parse_json(raw)).withColumn("message", some("$.message", 500)).withColumn("url", some("$.url", 256))
+    out = out.filter(F.col("message").isNotNull() & F.col("url").startswith("/"))
+    kind = F.when(json_text(F.col("_doc"), "$.kind") == "unhandledrejection", "unhandledrejection").otherwise("error")
+    return out.select(*[c for c in df.columns if c != raw], kind.alias("kind"), "message", "url", some("$.source", 256).alias("source"), some("$.stack", 4000).alias("stack"), whole("$.lineno").alias("lineno"), whole("$.colno").alias("colno"))

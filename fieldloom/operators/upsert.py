@@ -11,16 +11,18 @@ def fold_upserts(stored: DataFrame, updates: DataFrame, key: str, seq: str, over
 
     A key's base is its stored row, or its first update, taken as it is. overwrite columns end with the last row's
     value, enrich columns with the last known one. The guarded pair (value, source) is replaced by a later known
-    value whose source's rank isn't lower; the base's pair stands even if it is unknown.
+    value whose source's rank isn't below that of the source that stands, even if that one came without a value; a pair
+    without source is replaced by any. What stands never loses rank, so the best known pair wins unless the base's source outranks it.
     """
     columns = [*overwrite, *enrich, guarded, guard_source]
     rows = stored.select(key, F.lit(-1).cast("long").alias("_seq"), *columns).unionByName(updates.select(key, F.col(seq).cast("long").alias("_seq"), *columns)).withColumn("_rank", rank)
-    first = rows.groupBy(key).agg(F.min("_seq").alias("_base"))
-    rows = rows.join(first, key)
-    eligible = (F.col("_seq") == F.col("_base")) | F.col(guarded).isNotNull()
-    pair = F.max_by(F.struct(guarded, guard_source), F.when(eligible, F.struct(F.when(F.col(guarded).isNull(), -1).otherwise(F.col("_rank")).alias("r"), F.col("_seq").alias("s"))))
-    folded = rows.groupBy(key).agg(*[F.max_by(c, "_seq").alias(c) for c in overwrite], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in enrich], pair.alias("_pair"))
-    return folded.select(key, *overwrite, *enrich, F.col("_pair")[guarded].alias(guarded), F.col("_pair")[guard_source].alias(guard_source))
+    known = F.when(F.col(guarded).isNotNull(), F.struct("_rank", "_seq"))
+    best = F.max_by(F.struct(guarded, guard_source, "_rank"), known)
+    base = F.min_by(F.struct(guarded, guard_source, F.when(F.col(guard_source).isNull(), -1).otherwise(F.col("_rank")).alias("_rank")), "_seq")
+    folded = rows.groupBy(key).agg(*[F.max_by(c, "_seq").alias(c) for c in overwrite], *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in enrich], best.alias("_best"), base.alias("_base"))
+    wins = F.coalesce(F.col("_base")[guarded].isNotNull() | (F.col("_best")["_rank"] >= F.col("_base")["_rank"]), F.lit(False))
+    pick = lambda c: F.when(wins, F.col("_best")[c]).otherwise(F.col("_base")[c]).alias(c)
+    return folded.select(key, *overwrite, *enrich, pick(guarded), pick(guard_source))
 
 
 def patch(stored: DataFrame, updates: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
@@ -54,3 +56,26 @@ def retain(df: DataFrame, time: str, cutoff: Column) -> DataFrame:
 def replace_subscription(stored: DataFrame, row: DataFrame, key: str) -> DataFrame:
     """Delete by key, then append."""
     return stored.join(row, key, "left_anti").unionByName(row.select(*stored.columns))
+
+
+def write_back(stored: DataFrame, merged: DataFrame, key: str, overwrite: list[str], only_new: list[str]) -> DataFrame:
+    """Merged rows over the stored ones: overwrite columns take the merged value, the others are only set for new keys."""
+    m = merged.select(key, *[F.col(c).alias(f"_{c}") for c in [*overwrite, *only_new]], F.lit(True).alias("_new"))
+    s = stored.withColumn("_old", F.lit(True))
+    j = s.join(m, key, "full")
+    pick = lambda c: F.when(F.col("_new") & F.lit(c in overwrite), F.col(f"_{c}")).when(F.col("_old"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    return j.select(*[pick(c) if c in overwrite or c in only_new else F.col(c) for c in stored.columns])
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """A batch at the end of a table; Spark chunks it."""
+    rows.write.mode("append").parquet(path)
+
+
+def append_quietly(rows: DataFrame, path: str) -> bool:
+    """append() of a beacon that may be lost: what goes wrong is told by False, never raised."""
+    try:
+        append(rows, path)
+    except Exception:
+        return False
+    return True

@@ -6,38 +6,15 @@ coordinates made from their keys, alike in both languages), telemetry by events,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import dates, measures, text
 from fieldloom.operators import proximity, relational, upsert, windows
+from fieldloom.plans.registry import EV, ORACLE, QUERIES, Query, events, query
 from fieldloom.session import table
 from fieldloom.streaming import alerts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def events(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
-
-
-EV = "(SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)"
-
-
 # ---- series and telemetry
 
 
@@ -224,11 +201,6 @@ def f16_code_guards(s: SparkSession, d: str) -> DataFrame:
     return c.select("code", text.code_guards(F.col("code")).alias("g")).select("code", "g.*")
 
 
-@query("""SELECT event_id, round(value, 3) AS v FROM events WHERE value >= 0 AND value < 60 AND event_type IN ('view', 'click')""")
-def f17_beacons(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").filter((F.col("value") >= 0) & (F.col("value") < 60) & F.col("event_type").isin("view", "click")).select("event_id", F.round("value", 3).alias("v"))
-
-
 @query("""SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey LIMIT 100""")
 def o01_order_by_title(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").orderBy("p_name", "p_partkey").limit(100).select("p_name", "p_partkey")
@@ -470,21 +442,25 @@ def x05_word_subset(s: SparkSession, d: str) -> DataFrame:
 
 # ---- keyed writes as folds
 
-RANK = "CASE WHEN src = 'eaip' THEN 4 WHEN src = 'ocr' THEN 3 WHEN src = 'openaip' THEN 2 WHEN src = 'osm' THEN 1 ELSE 0 END"
-UPD = """SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS note,
-         CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderpriority END AS hours, CASE o_orderkey % 5 WHEN 0 THEN 'eaip' WHEN 1 THEN 'ocr' WHEN 2 THEN 'openaip' WHEN 3 THEN 'osm' ELSE 'x' END AS src FROM orders"""
-STO = "SELECT c_custkey AS k, -1 AS seq, c_acctbal AS price, NULL AS note, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS hours, 'ocr' AS src FROM customer WHERE c_custkey % 3 = 0"
+UPD = """SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS note, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderpriority END AS hours,
+         CASE o_orderkey % 6 WHEN 0 THEN 'eaip' WHEN 1 THEN 'dfs-ocr-hours' WHEN 2 THEN 'pdf-ocr-hours' WHEN 3 THEN 'openaip' WHEN 4 THEN 'osm' END AS src FROM orders"""
+STO = """SELECT c_custkey AS k, -1 AS seq, c_acctbal AS price, NULL AS note, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS hours, CASE c_custkey % 4 WHEN 0 THEN 'pdf-ocr-hours' WHEN 1 THEN 'openaip' WHEN 2 THEN 'osm' END AS src
+         FROM customer WHERE c_custkey % 3 = 0"""
 
 
-@query(f"""WITH r AS (SELECT *, {RANK} AS rank, min(seq) OVER (PARTITION BY k) AS base FROM ({STO} UNION ALL {UPD})),
+# a row is taken if the pair that stands has no source or one that doesn't outrank it: what stands never loses rank, so it's the base's rank that counts
+@query(f"""WITH r AS (SELECT *, CASE src WHEN 'eaip' THEN 4 WHEN 'dfs-ocr-hours' THEN 3 WHEN 'pdf-ocr-hours' THEN 3 WHEN 'openaip' THEN 2 WHEN 'osm' THEN 1 ELSE 0 END AS rank, row_number() OVER (PARTITION BY k ORDER BY seq) AS n FROM ({STO} UNION ALL {UPD})),
+           b AS (SELECT k, src AS base_src, rank AS base_rank FROM r WHERE n = 1),
            g AS (SELECT k, arg_max(price, seq) AS price, arg_max(note, seq) FILTER (note IS NOT NULL) AS note FROM r GROUP BY k),
-           h AS (SELECT k, hours, src FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN hours IS NULL THEN -1 ELSE rank END DESC, seq DESC) AS n FROM r WHERE seq = base OR hours IS NOT NULL) WHERE n = 1)
+           h AS (SELECT k, hours, src FROM (SELECT r.*, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN n = 1 AND src IS NULL THEN -1 ELSE rank END DESC, seq DESC) AS best
+                 FROM r JOIN b USING (k) WHERE n = 1 OR (hours IS NOT NULL AND (base_src IS NULL OR rank >= base_rank))) WHERE best = 1)
            SELECT g.k, price, note, hours, src FROM g JOIN h USING (k)""")
 def k02_upsert_fold(s: SparkSession, d: str) -> DataFrame:
     o, c = table(s, d, "orders"), table(s, d, "customer")
-    src = F.element_at(F.array(*[F.lit(x) for x in ("eaip", "ocr", "openaip", "osm", "x")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    src = F.get(F.array(*[F.lit(x) for x in ("eaip", "dfs-ocr-hours", "pdf-ocr-hours", "openaip", "osm", None)]), (F.col("o_orderkey") % 6).cast("int"))
+    own = F.get(F.array(*[F.lit(x) for x in ("pdf-ocr-hours", "openaip", "osm", None)]), (F.col("c_custkey") % 4).cast("int"))
     updates = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("note"), F.when(F.col("o_orderkey") % 4 != 1, F.col("o_orderpriority")).alias("hours"), src.alias("src"))
-    stored = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("price"), F.lit(None).cast("string").alias("note"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("hours"), F.lit("ocr").alias("src"))
+    stored = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("price"), F.lit(None).cast("string").alias("note"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("hours"), own.alias("src"))
     return upsert.fold_upserts(stored, updates, "k", "seq", ["price"], ["note"], "hours", "src", measures.source_rank(F.col("src")))
 
 
@@ -543,10 +519,10 @@ def d06_weekday_minute(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", dates.utc_weekday(ts).alias("dow"), dates.utc_minute(ts).alias("minute"), dates.clock_text(dates.utc_minute(ts)).alias("clock"))
 
 
-@query(f"""SELECT event_id, CASE WHEN a < 60 THEN 'vor ' || a || ' s' WHEN a < 3600 THEN 'vor ' || (a // 60) || ' min' WHEN a < 86400 THEN 'vor ' || (a // 3600) || ' h' ELSE 'vor ' || (a // 86400) || ' d' END AS age
-           FROM (SELECT event_id, greatest(0, (SELECT max(t) FROM {EV}) - t - 100) AS a FROM {EV})""")
+@query(f"""SELECT event_id, CASE WHEN a IS NULL THEN '-' WHEN a < 60 THEN 'gerade eben' WHEN a < 3600 THEN 'vor ' || (a // 60) || ' min' WHEN a < 86400 THEN 'vor ' || (a // 3600) || ' h' ELSE 'vor ' || (a // 86400) || ' d' END AS age
+           FROM (SELECT event_id, CASE WHEN event_id % 50 > 0 THEN greatest(0, (SELECT max(t) FROM {EV}) - t - 100) END AS a FROM {EV})""")
 def d12_age(s: SparkSession, d: str) -> DataFrame:
-    return alerts.with_newest(events(s, d), "t", "newest").select("event_id", dates.age_text(F.col("newest") - F.col("t") - 100).alias("age"))
+    return alerts.with_newest(events(s, d), "t", "newest").select("event_id", dates.age_text(F.when(F.col("event_id") % 50 > 0, F.col("newest") - F.col("t") - 100)).alias("age"))
 
 
 @query("""SELECT k, CAST(try_strptime(printf('%04d-%02d-%02d', 2000 + k % 30, k % 14, k % 33), '%Y-%m-%d') AS DATE)::VARCHAR AS day FROM (SELECT CAST(p_partkey AS INTEGER) AS k FROM part)""")
@@ -578,14 +554,22 @@ def m07_roundings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", measures.feet(F.col("p_size")).alias("ft"), measures.round_up_half((F.col("p_size") - 25) / 2.0).alias("js"), measures.runway_heading(end).cast("int").alias("heading"), measures.compass_point(k % 360).alias("point"))
 
 
-@query("""SELECT event_id, CASE WHEN value >= 0 AND value <= 1 THEN value * 100 WHEN value > 1 AND value <= 60 THEN value END AS pct FROM (SELECT event_id, CASE WHEN value <= 60 THEN value END AS value FROM events)""")
+@query("""SELECT event_id, CASE WHEN v BETWEEN 0 AND 1 THEN round_even(v * 100, 1) WHEN v BETWEEN 0 AND 100 THEN round_even(v, 1) END AS pct FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN floor(value) / 64 WHEN event_id % 3 = 1 THEN floor(value * 8) / 4 ELSE value - 5 END AS v FROM events WHERE event_id % 3 <> 2 OR value = floor(value * 8) / 8)""")
 def m09_percent(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", measures.percent(F.when(F.col("value") <= 60, F.col("value"))).alias("pct"))
+    value, k = F.col("value"), F.col("event_id") % 3
+    e = table(s, d, "events").filter((k != 2) | (value == F.floor(value * 8) / 8))
+    return e.select("event_id", measures.percent(F.when(k == 0, F.floor(value) / 64).when(k == 1, F.floor(value * 8) / 4).otherwise(value - 5)).alias("pct"))
+
+
+SURFACES = ["ASPH", "concrete", "Bitumen", "sealed", "TARMAC", "PEM", "Gras", "turf", "GRN", "lawn", "gravel", "GVL", "dirt", "sand/clay", "coral", "laterite", "murram", "soil", "water", "snow", "ice", "con", "bit", "unknown", "", None, "grass on asphalt", "ice road, gravel"]
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'asp|con|bit|pav|tar') THEN 'paved' WHEN regexp_matches(lower(p_type), 'gras|turf|sod') THEN 'grass' WHEN regexp_matches(lower(p_type), 'grav|dirt|sand|earth') THEN 'unpaved' WHEN regexp_matches(lower(p_type), 'water') THEN 'water' ELSE 'other' END AS surface FROM part""")
+@query(f"""SELECT p_partkey, CASE WHEN regexp_matches(s, 'asp|asph|concrete|conc|pav|bitum|seal|tar|paved|pem') THEN 'paved' WHEN regexp_matches(s, 'gras|turf|grn|lawn') THEN 'grass' WHEN regexp_matches(s, 'grav|gvl|dirt|earth|sand|clay|coral|later|murram|soil') THEN 'loose'
+           WHEN regexp_matches(s, 'water') THEN 'water' WHEN regexp_matches(s, 'snow|ice') THEN 'snow' ELSE 'other' END AS surface
+           FROM (SELECT p_partkey, lower({[x if x is not None else 'NULL' for x in SURFACES]!r}[1 + p_partkey % {len(SURFACES)}]) AS s FROM part)""".replace("'NULL'", "NULL"))
 def m06_surface(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").select("p_partkey", measures.surface_class(F.col("p_type")).alias("surface"))
+    free = F.get(F.array(*[F.lit(x) for x in SURFACES]), (F.col("p_partkey") % len(SURFACES)).cast("int"))
+    return table(s, d, "part").select("p_partkey", measures.surface_class(free).alias("surface"))
 
 
 # ---- text
@@ -606,17 +590,32 @@ def n08_json_field(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("""SELECT event_id, type, mhz FROM (SELECT event_id, unnest(string_split('TWR,118.' || event_id % 9 || ';GND,x;ATIS,' || user_id, ';')) AS p FROM events) CROSS JOIN LATERAL (SELECT split_part(p, ',', 1) AS type, split_part(p, ',', 2) AS mhz) WHERE regexp_matches(mhz, '^[0-9]+([.][0-9]+)?$')""")
+@query("""SELECT event_id, trim(type) AS type, trim(mhz) AS mhz, CASE WHEN user_id % 3 > 0 THEN CAST(user_id * 10 AS INTEGER) END AS length, CASE WHEN user_id % 2 > 0 THEN CAST(user_id AS INTEGER) END AS width FROM (SELECT event_id, user_id, unnest(string_split('TWR, 118.' || event_id % 9 || ';GND,;,121.5; ATIS ,' || user_id || ',x', ';')) AS p FROM events)
+          CROSS JOIN LATERAL (SELECT split_part(p, ',', 1) AS type, split_part(p, ',', 2) AS mhz) WHERE trim(mhz) <> '' AND trim(type) <> ''""")
 def n07_frequencies(s: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("TWR,118."), F.col("event_id") % 9, F.lit(";GND,x;ATIS,"), F.col("user_id"))
-    return table(s, d, "events").select("event_id", F.inline(text.frequencies(t)))
+    t = F.concat(F.lit("TWR, 118."), F.col("event_id") % 9, F.lit(";GND,;,121.5; ATIS ,"), F.col("user_id"), F.lit(",x"))
+    size = F.concat(F.when(F.col("user_id") % 3 > 0, (F.col("user_id") * 10).cast("string")).otherwise(F.lit("")), F.when(F.col("user_id") % 2 > 0, F.concat(F.lit("x"), F.col("user_id"))).otherwise(F.lit("x4 m")))
+    return table(s, d, "events").select("event_id", text.dimensions(size).alias("size"), F.inline(text.frequencies(t))).select("event_id", "type", "mhz", "size.length", "size.width")
 
 
-@query("""SELECT page_id, CAST(try_strptime(printf('20%02d-%02d-%02d', page_id % 40, page_id % 14, page_id % 32), '%Y-%m-%d') AS DATE)::VARCHAR AS day FROM pages""")
+#: links of each shape, with the parts of a day from the page's number, and those that carry no edition
+EDITION_LINKS = [
+    "/aip/{y}-{m}-{d}-AIRAC/html", "/{y}-{m}-{d}-NON-AIRAC/", "/eAIP/AIRAC-{y}-{m}-{d}/x", "/nl_{y}_{m}_{d}/x", "/lo/{yy}{m}{d}/ad", "/BasicVFR/{y}{MON}{d}/C0", "/amdt_wef_{d}{mon}{y}/", "/AIP_SR_EFF_{d}{MON}{y}/", "/{yy}-{m}-{d}-AIRAC/", "/aip/{y}-{m}-{d}/DOCS/",
+    "/chart_{y}{m}{d}.pdf", "/{d}.{m}.{y}/x", "/x/{y}-{m}-{d}.html", "/20{yy}XXX{d}/",
+]
+MON = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+
+
+@query(f"""SELECT page_id, CASE WHEN k < 10 THEN CAST(CAST(try_strptime(y || '-' || m || '-' || d, '%Y-%m-%d') AS DATE) AS VARCHAR) END AS day FROM (SELECT page_id, page_id % 14 AS k, printf('20%02d', page_id % 40) AS y, printf('%02d', 1 + page_id % 13) AS m, printf('%02d', 1 + page_id % 31) AS d FROM pages)
+           WHERE m <> '13' OR k NOT IN (5, 6, 7)""")
 def d14_edition_date(s: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
-    url = F.concat(F.col("page_id") * 0, F.lit("/aip/"), F.format_string("20%02d-%02d-%02d", (k % 40).cast("int"), (k % 14).cast("int"), (k % 32).cast("int")), F.lit("/x.html"))
-    return table(s, d, "pages").select("page_id", text.edition_date(url).cast("string").alias("day"))
+    y, m, day = F.format_string("20%02d", (k % 40).cast("int")), (k % 13 + 1).cast("int"), F.format_string("%02d", (k % 31 + 1).cast("int"))
+    mon = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")]), m - 1), F.lit("xxx"))
+    url = F.get(F.array(*[F.lit(x) for x in EDITION_LINKS]), (k % 14).cast("int"))
+    for name, value in (("{y}", y), ("{yy}", F.substring(y, 3, 2)), ("{m}", F.format_string("%02d", m)), ("{d}", day), ("{mon}", mon), ("{MON}", F.upper(mon))):
+        url = F.replace(url, F.lit(name), value)
+    return table(s, d, "pages").filter((m != 13) | ~(k % 14).isin(5, 6, 7)).select("page_id", text.edition_date(url).cast("string").alias("day"))
 
 
 # ---- state
@@ -655,6 +654,9 @@ def extra_pricing(s: SparkSession, d: str) -> DataFrame:
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
+from fieldloom.plans import facilities, texts  # noqa: E402, F401  they register their queries
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
