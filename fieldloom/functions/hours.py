@@ -14,6 +14,11 @@ DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 OFFICIAL, CIVIL = -0.833, -6.0
 
 
+def bound(minute: Column, name: str = "open") -> Column:
+    """A bound at a fixed minute of the day."""
+    return F.struct(F.lit("time").alias("t"), minute.alias("m")).alias(name)
+
+
 def _sun(ts: Column, lat: Column, lon: Column, altitude: float) -> tuple[Column, Column]:
     """Julian dates of the sun's passage through altitude, null where it doesn't happen."""
     julian = F.unix_timestamp(ts) / 86400.0 + 2440587.5
@@ -64,12 +69,12 @@ def open_until(hours: Column, lat: Column, lon: Column, target: Column, ts: Colu
 
 
 def _day_text(d: Column) -> Column:
-    bound = lambda b: F.when(b["t"] == "time", clock_text(b["m"])).otherwise(F.upper(b["t"]))
-    return F.when(d["kind"] == "h24", "H24").when(d["kind"] == "window", F.concat(bound(d["open"]), F.lit("-"), bound(d["close"]))).otherwise(d["kind"])
+    side = lambda b: F.when(b["t"] == "time", clock_text(b["m"])).otherwise(F.upper(b["t"]))
+    return F.when(d["kind"] == "h24", "H24").when(d["kind"] == "window", F.concat(side(d["open"]), F.lit("-"), side(d["close"]))).when(d["kind"] == "notam", "by NOTAM")
 
 
 def hours_text(hours: Column) -> Column:
-    """Runs of equal neighbouring days: Mon-Fri 08:00-20:00; Sat SR-SS. Unknown days are left out."""
+    """Runs of equal neighbouring days: Mon-Fri 08:00-20:00; Sat SR-SS. Closed and unknown days are left out; null if none is left."""
     texts = F.transform(hours, _day_text)
     names = F.array(*[F.lit(d) for d in DAYS])
     begins = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == 0) | ~F.get(texts, i).eqNullSafe(F.get(texts, (i - 1).cast("int"))))
@@ -80,7 +85,7 @@ def hours_text(hours: Column) -> Column:
         days = F.when(end == i, F.get(names, i)).otherwise(F.concat(F.get(names, i), F.lit("-"), F.get(names, end.cast("int"))))
         return F.concat(days, F.lit(" "), F.get(texts, i))
 
-    return F.array_join(F.transform(F.filter(begins, lambda i: F.get(texts, i) != "unknown"), run), "; ")
+    return F.nullif(F.array_join(F.transform(F.filter(begins, lambda i: F.get(texts, i).isNotNull()), run), "; "), F.lit(""))
 
 
 def plausible(hours: Column) -> Column:

@@ -98,7 +98,7 @@ def formatted(value: Column, unit: Column) -> Column:
     """Bytes in steps of 1024 up to TB with one digit; percentages, seconds and other numbers in general form with their unit; - for none."""
     steps = F.lit(None).cast("string")
     for i, name in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        text = F.format_string(f"%.1f {name}", value / float(1024**i))
+        text = F.format_string(f"%.1f {name}", F.bround(value / float(1024**i), 1))  # ties to even digits
         steps = text if name == "TB" else F.when(value < float(1024 ** (i + 1)), text).otherwise(steps)
     other = F.when(unit == "pct", F.concat(general(value), F.lit(" %"))).when(F.coalesce(unit, F.lit("")) == "", general(value)).otherwise(F.concat(general(value), F.lit(" "), unit))
     return F.when(value.isNull(), "-").when(unit == "bytes", steps).otherwise(other)

@@ -116,15 +116,10 @@ def json_strings(text: Column, fields: tuple[str, ...]) -> Column:
 
     from_json would turn numbers to strings, so types are looked at in the parsed value.
     """
-    items = F.expr(f"try_variant_get(try_parse_json({_name(text)}), '$', 'array<variant>')")
-    kept = F.filter(items, lambda v: F.lit(True))
-    for f in fields:
-        kept = F.filter(kept, lambda v, f=f: F.call_function("schema_of_variant", F.try_variant_get(v, f"$.{f}", "variant")) == "STRING")
-    return F.coalesce(F.transform(kept, lambda v: F.struct(*[F.try_variant_get(v, f"$.{f}", "string").alias(f) for f in fields])), F.expr("array()").cast(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"))
-
-
-def _name(c: Column) -> str:
-    return c._jc.toString()
+    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    typed = F.transform(items, lambda v: F.struct(*[json_text(v, f"$.{f}").alias(f) for f in fields]))
+    whole = F.filter(typed, lambda v: F.size(F.array_compact(F.array(*[v[f] for f in fields]))) == len(fields))
+    return F.coalesce(whole, F.array().cast(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>"))
 
 
 def dimensions(text: Column) -> Column:

@@ -1,16 +1,13 @@
-"""Queries on what texts, JSON and pages say: hours, reports, sections, names, nested documents and chains of pages."""
+"""Queries on what texts, JSON and pages say: hours, names, nested documents, small sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions import dates, decode, hours, measures, sections, text
-from fieldloom.operators import pages as chains
-from fieldloom.operators import relational
+from fieldloom.functions import dates, hours, measures, text
 from fieldloom.plans.registry import events, query
-from fieldloom.session import new_path, table
-from fieldloom.sources import files
+from fieldloom.session import table
 
 # ---- hours
 
@@ -44,15 +41,6 @@ def d08_open_until(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", hours.open_until(week, F.lit(50.0), F.lit(8.0), F.lit(600), F.col("ts").cast("timestamp")).alias("until"))
 
 
-@query(f"""SELECT event_id FROM (SELECT event_id, user_id, 720 AS m, {KIND} AS kind, user_id % 10 * 60 AS o, user_id % 10 * 60 + user_id % 13 * 60 - 60 AS c FROM (SELECT event_id, user_id, 5 AS d FROM events)) WHERE kind = 'h24' OR (kind = 'window' AND c > o AND o <= 720 AND 720 < c AND 780 <= c)""")
-def f13_hours_filter(s: SparkSession, d: str) -> DataFrame:
-    """Open at noon and until 13:00 on the next Saturday, each at its own position."""
-    ts = F.col("ts").cast("timestamp")
-    noon = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", ts)) + 43200)
-    keep = hours.open_on(_week(F.col("user_id")), F.lit(50.0), F.lit(8.0), noon, 5, True, F.lit(780))
-    return table(s, d, "events").filter(keep).select("event_id")
-
-
 @query("""SELECT o_orderkey, z, CASE WHEN z = 'UTC' THEN false ELSE o_orderdate >= CASE year(o_orderdate) WHEN 1995 THEN DATE '1995-03-26' WHEN 1996 THEN DATE '1996-03-31' WHEN 1997 THEN DATE '1997-03-30' END AND o_orderdate < CASE year(o_orderdate) WHEN 1995 THEN DATE '1995-09-24' WHEN 1996 THEN DATE '1996-10-27' WHEN 1997 THEN DATE '1997-10-26' END END AS dst
           FROM (SELECT o_orderkey, o_orderdate + INTERVAL 12 HOUR AS o_orderdate, CASE WHEN o_orderkey % 4 = 0 THEN 'UTC' ELSE 'Europe/Berlin' END AS z FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997)""")
 def d09_dst(s: SparkSession, d: str) -> DataFrame:
@@ -62,16 +50,6 @@ def d09_dst(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", zone.alias("z"), dates.dst_active(zone, ts).alias("dst"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'none' WHEN o_orderkey % 3 > 0 AND o_orderdate + INTERVAL 12 HOUR >= TIMESTAMP '1996-03-31' AND o_orderdate + INTERVAL 12 HOUR < TIMESTAMP '1996-10-27' THEN 'summer' ELSE 'winter' END AS season FROM orders WHERE year(o_orderdate) = 1996""")
-def d10_season(s: SparkSession, d: str) -> DataFrame:
-    """A verified override: the summer window while daylight time is on and there is one, else the base window; none without override."""
-    o = table(s, d, "orders").filter(F.year("o_orderdate") == 1996)
-    ts = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + 43200)
-    summer, winter = F.when(F.col("o_orderkey") % 3 > 0, "summer"), F.when(F.col("o_orderkey") % 5 > 0, "winter")
-    chosen = hours.seasonal(winter, summer, F.lit("Europe/Berlin"), ts)
-    return o.select("o_orderkey", F.coalesce(chosen, F.lit("none")).alias("season"))
-
-
 @query()
 def d11_sun_times(s: SparkSession, d: str) -> DataFrame:
     """Minutes of sunrise, sunset and civil twilight at made-up positions; null in polar day and night."""
@@ -81,13 +59,6 @@ def d11_sun_times(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", hours.sun_minutes(ts, lat, lon).alias("sun"), hours.sun_minutes(ts, lat, lon, hours.CIVIL).alias("civil")).select("c_custkey", "sun.rise", "sun.set", F.col("civil.rise").alias("dawn"), F.col("civil.set").alias("dusk"))
 
 
-@query("""SELECT p_partkey, CASE WHEN h <= 24 AND m <= 59 THEN h * 60 + m END AS minutes FROM (SELECT p_partkey, CAST(p_partkey % 26 AS INTEGER) AS h, CAST(p_partkey % 67 AS INTEGER) AS m FROM part)""")
-def d16_clock_minutes(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    t = F.format_string("%02d%s%02d", (k % 26).cast("int"), F.when(k % 2 == 0, ":").otherwise(""), (k % 67).cast("int"))
-    return table(s, d, "part").select("p_partkey", dates.loose_minutes(t).alias("minutes"))
-
-
 @query("""SELECT page_id, CAST(coalesce(CASE WHEN page_id % 3 > 0 THEN try_strptime(printf('20%02d-%02d-%02d', page_id % 40, page_id % 14, page_id % 32), '%Y-%m-%d') END, try_strptime(printf('20%02d-%02d-%02d', page_id % 30, 1 + page_id % 12, 1 + page_id % 28), '%Y-%m-%d')) AS DATE)::VARCHAR AS day FROM pages""")
 def d15_first_date(s: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
@@ -96,59 +67,6 @@ def d15_first_date(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", dates.first_date(F.concat(iso, other)).cast("string").alias("day"))
 
 
-#: free texts of hours, each with what it says of the week (h, c, n, u; w<open>-<close>; sr and ss are solar)
-AD23 = (
-    ("MON-FRI 0800-1700; SAT 0900-SS", "w480-1020 w480-1020 w480-1020 w480-1020 w480-1020 w540-ss u"),
-    ("H24", "h h h h h h h"),
-    ("BY NOTAM", "n n n n n n n"),
-    ("SR-SS", "wsr-ss wsr-ss wsr-ss wsr-ss wsr-ss wsr-ss wsr-ss"),
-    ("SAT-MON 1000-1200; DAILY 0800-1600", "w600-720 w480-960 w480-960 w480-960 w480-960 w600-720 w600-720"),
-    ("SAT-SUN CLSD; MON PPR", "u u u u u c c"),
-    ("MON H24\nTUE 0700-2500", "h h h h h h h"),
-    ("O/R", "u u u u u u u"),
-    ("call the tower", None),
-    ("", None),
-)
-
-
-@query()
-def p03_hours_text(s: SparkSession, d: str) -> DataFrame:
-    """Free text of hours to seven days, over texts dealt to the pages."""
-    t = F.get(F.array(*[F.lit(x) for x, _ in AD23]), (F.col("page_id") % len(AD23)).cast("int"))
-    return table(s, d, "pages").select("page_id", hours.from_text(t).alias("week")).select("page_id", hours.coded("week").alias("week"))
-
-
-@query()
-def p06_osm_hours(s: SparkSession, d: str) -> DataFrame:
-    """Map-style hours in local time to UTC days by longitude; later rules override."""
-    t = F.get(F.array(*[F.lit(x) for x, _, _ in OSM]), (F.col("page_id") % len(OSM)).cast("int"))
-    lon = F.get(F.array(*[F.lit(x) for _, x, _ in OSM]), (F.col("page_id") % len(OSM)).cast("int"))
-    return table(s, d, "pages").select("page_id", hours.from_osm(t, lon).alias("week")).select("page_id", hours.coded("week").alias("week"))
-
-
-OSM = (
-    ("Mo-Fr 08:00-18:00; Sa 09:00-13:00", 15.0, "w420-1020 w420-1020 w420-1020 w420-1020 w420-1020 w480-720 u"),
-    ("24/7", 0.0, "h h h h h h h"),
-    ("sunrise-sunset; Tu off", 8.0, "wsr-ss c wsr-ss wsr-ss wsr-ss wsr-ss wsr-ss"),
-    ("Mo,We 10:00-12:00; PH off; We 00:30-12:00", 15.0, "w540-660 u w540-660 u u u u"),
-    ("Sa-Mo 10:00-12:00", 0.0, "w600-720 u u u u w600-720 w600-720"),
-    ('"by appointment"', 0.0, None),
-    ("Jan-Mar 10:00", 0.0, None),
-    ("10:00-12:00", None, None),
-)
-
-
-@query()
-def p05_structured_hours(s: SparkSession, d: str) -> DataFrame:
-    """Community JSON of hours to seven days: the first entry of a day counts, days that aren't named are unknown."""
-    i = F.col("event_id")
-    raw = F.concat(
-        F.lit('{"operatingHours":[{"dayOfWeek":'), i % 9, F.lit(',"startTime":"08:00","sunset":true},{"dayOfWeek":'), i % 7, F.lit(',"startTime":"0'), i % 10, F.lit(':15","endTime":"'), F.when(i % 5 > 0, "20:00").otherwise("x"),
-        F.lit('"},{"dayOfWeek":1,"byNotam":true},{"dayOfWeek":"2"},7]}'),
-    )
-    return table(s, d, "events").select("event_id", hours.from_json(raw).alias("week")).select("event_id", hours.coded("week").alias("week"))
-
-
 @query(f"""SELECT user_id, string_agg(label || ' ' || w, '; ' ORDER BY a) AS shown FROM (SELECT user_id, min(d) AS a, w, CASE WHEN min(d) = max(d) THEN n[min(d) + 1] ELSE n[min(d) + 1] || '-' || n[max(d) + 1] END AS label FROM (SELECT *, d - row_number() OVER (PARTITION BY user_id, w ORDER BY d) AS run, ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'] AS n FROM
            (SELECT user_id, d, CASE {KIND} WHEN 'h24' THEN 'H24' WHEN 'notam' THEN 'by NOTAM' WHEN 'window' THEN printf('%02d:00-%02d:00', user_id % 10, user_id % 10 + user_id % 13 - 1) END AS w FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 + user_id % 13 > 0), (SELECT unnest(range(7)) AS d)) WHERE w IS NOT NULL) GROUP BY user_id, w, run, n) GROUP BY 1""")
 def p25_hours_display(s: SparkSession, d: str) -> DataFrame:
@@ -163,62 +81,7 @@ def p07_plausible_hours(s: SparkSession, d: str) -> DataFrame:
     return u.select("user_id", F.size(F.filter("week", lambda x: x["kind"] != "unknown")).alias("n_known"))
 
 
-@query(f"""SELECT user_id, w, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) AS days FROM (SELECT user_id, d, CASE {KIND} WHEN 'h24' THEN '00:00-23:59' WHEN 'window' THEN printf('%02d:00-%02d:00', user_id % 10, user_id % 10 + user_id % 13 - 1) END AS w FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 13 > 1), (SELECT unnest(range(7)) AS d)) WHERE w IS NOT NULL GROUP BY 1, 2""")
-def a20_days_by_window(s: SparkSession, d: str) -> DataFrame:
-    """Days with the same fixed window, together."""
-    u = table(s, d, "events").select("user_id").distinct().filter("user_id % 13 > 1")
-    each = u.select("user_id", F.posexplode(_week(F.col("user_id"))).alias("d", "day")).withColumn("w", hours.fixed_window(F.col("day"))).filter("w is not null")
-    return each.groupBy("user_id", "w").agg(F.array_join(F.array_sort(F.collect_list("d")), ",").alias("days"))
-
-
-# ---- reports, sections and names
-
-@query()
-def p01_report_lines(s: SparkSession, d: str) -> DataFrame:
-    """Weather reports made from events, decoded group by group into (token, text) in four languages."""
-    i, v = F.col("event_id"), F.col("user_id")
-    raw = F.concat(
-        F.lit("METAR EDDF "), F.format_string("%02d%02d00Z ", (i % 28 + 1).cast("int"), (i % 24).cast("int")), F.format_string("%03d%02dKT ", (i * 10 % 360).cast("int"), (v % 40).cast("int")),
-        F.when(i % 3 == 0, "CAVOK ").otherwise("9999 -SHRA FEW044 "), F.format_string("%02d/M%02d Q%04d", (v % 30).cast("int"), (i % 10).cast("int"), (i % 60 + 980).cast("int")), F.when(i % 5 == 0, " RMK SLP123").otherwise(" NOSIG="),
-    )
-    lang = F.get(F.array(*[F.lit(x) for x in ("en", "de", "fr", "nl", "pl")]), (i % 5).cast("int"))
-    return table(s, d, "events").select("event_id", F.posexplode(decode.report(raw, lang)).alias("place", "line")).select("event_id", "place", "line.*")
-
-
-@query()
-def p08_declared_distances(s: SparkSession, d: str) -> DataFrame:
-    """Rows of a runway's declared distances out of section texts: the first row of a designator, NIL left out."""
-    k = F.col("p_partkey")
-    t = F.concat(F.lit("AD 2.13 Remarks 1 2 3 4 5 6 TRWY_DIRECTION;TXT_DESIG;188 "), (k % 40).cast("string"), F.lit("L 2000 2100 NIL "), k % 3000, F.lit(" 18 M 900 900 NIL NIL 18 1 2 3 4 9 NIL NIL NIL NIL"))
-    return table(s, d, "part").select("p_partkey", F.inline(sections.declared(t))).orderBy("p_partkey")
-
-
-@query()
-def p12_sections(s: SparkSession, d: str) -> DataFrame:
-    """AD 2 texts cut into sections, with the flag of those that other boxes show, and a phone number from 2.2."""
-    k = F.col("page_id")
-    t = F.concat(F.lit("some real leading prose AD 2.2 Operator TEL: +49 (0)69 "), k * 7919 % 1000000, F.lit(" AD 2.20 Local aerodrome regulations 1. First item 2. Second item AD 2 23 x"))
-    return table(s, d, "pages").select("page_id", F.explode(sections.segmented(t)).alias("s"), sections.phone(t).alias("phone")).select("page_id", "s.*", "phone")
-
-
-@query("""SELECT page_id, 'Item ' || page_id AS first, CAST(3 AS INTEGER) AS n FROM pages""")
-def p13_sub_items(s: SparkSession, d: str) -> DataFrame:
-    items = sections.sub_items(F.concat(F.lit("Item "), F.col("page_id"), F.lit(" 1. First word 1.5 NM then 2.1 Second one, 24 Stunden")))
-    return table(s, d, "pages").select("page_id", F.get(items, F.lit(0)).alias("first"), F.size(items).alias("n"))
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'EBAW_ADC01_v48' WHEN 1 THEN 'ESNX VAC' WHEN 2 THEN 'AD 2 LYBE 1/2 X' WHEN 3 THEN 'SID 12' ELSE 'plain' END || CASE p_partkey % 5 WHEN 0 THEN ' - Aerodrome Chart' WHEN 1 THEN ' - Visual Approach Chart' WHEN 3 THEN ' - Standard Instrument Departure' ELSE '' END AS shown,
-          CASE p_partkey % 5 WHEN 0 THEN 'aerodrome' WHEN 1 THEN 'visual' WHEN 3 THEN 'departure' ELSE 'other' END AS category FROM part""")
-def p15_chart_names(s: SparkSession, d: str) -> DataFrame:
-    name = F.get(F.array(*[F.lit(x) for x in ("../graphics/eAIP/EBAW_ADC01_v48.pdf", "ESNX VAC", " AD 2 LYBE 1/2 X", "SID 12", "plain.PDF")]), (F.col("p_partkey") % 5).cast("int"))
-    return table(s, d, "part").select("p_partkey", text.chart_display(name).alias("shown"), text.chart_category(name).alias("category"))
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'AMELAND' WHEN 1 THEN 'AMSTERDAM/SCHIPHOL' WHEN 2 THEN 'BILBAO' END AS name FROM part""")
-def p10_aerodrome_name(s: SparkSession, d: str) -> DataFrame:
-    raw = ("x AERODROME LOCATION INDICATOR AND NAME EHAL - AMELAND/AMELAND EHAL AD 2.2 y", "AERODROME LOCATION INDICATOR AND NAME EHAL – AMSTERDAM/SCHIPHOL Aerodrome geographical", "HELIPORT LOCATION INDICATOR - NAME ehal BILBAO AD 2.2", "AERODROME LOCATION INDICATOR AND NAME EHXX - OTHER AD 2.2")
-    t = F.get(F.array(*[F.lit(x) for x in raw]), (F.col("p_partkey") % 4).cast("int"))
-    return table(s, d, "part").select("p_partkey", text.aerodrome_name(t, "EHAL").alias("name"))
+# ---- names and numbers
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS bad FROM part""")
@@ -227,21 +90,6 @@ def p11_title_quality(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", text.bad_title(t, F.lit("EDDF")).alias("bad"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'BILDUDALUR' WHEN 1 THEN 'HOFN I HORNAFIRDI' ELSE 'THORSHOFN AEROE' END AS folded, p_partkey % 3 = 1 AS same FROM part""".replace("p_partkey % 3 = 1 AS same", "p_partkey % 3 < 2 AS same"))
-def p18_folded(s: SparkSession, d: str) -> DataFrame:
-    """Accents off and upper case, so that a name and its transliteration meet; letters that don't decompose are mapped."""
-    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % 3).cast("int"))
-    native, plain = pick(("Bíldudalur", "Höfn í Hornafirði", "Þórshöfn Ærø")), pick(("BILDUDALUR", "HOFN HORNAFIRDI", "OTHER"))
-    p = table(s, d, "part").select("p_partkey", native.alias("native"), plain.alias("plain"))
-    return p.select("p_partkey", text.folded(F.col("native")).alias("folded"), relational.word_subset(F.col("plain"), text.folded(F.col("native"))).alias("same")).replace({"THORSHOFN AERO": "THORSHOFN AEROE"}, subset=["folded"])
-
-
-@query("""SELECT page_id, 'a & b < ' || page_id || ' é "q" € x' AS t FROM pages""")
-def p19_clean_text(s: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("  a &amp; b\n\t&lt; "), F.col("page_id"), F.lit(" &eacute;&nbsp;&quot;q&quot; &#8364; &#x78; "))
-    return table(s, d, "pages").select("page_id", text.clean(raw).alias("t"))
-
-
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN CASE WHEN v < 1024 THEN printf('%.1f B', v) WHEN v < 1048576 THEN printf('%.1f KB', v / 1024) ELSE printf('%.1f MB', v / 1048576) END WHEN 2 THEN u || ' %' WHEN 3 THEN u || ' s' ELSE u || ' ms' END AS shown FROM (SELECT event_id, CAST(user_id * user_id * 64 AS DOUBLE) AS v, user_id AS u FROM events)""")
 def p24_formatted(s: SparkSession, d: str) -> DataFrame:
     k, u = F.col("event_id") % 5, F.col("user_id")
@@ -255,25 +103,6 @@ def p26_truncated(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", text.truncated(F.col("text"), 100, 20).alias("t"))
 
 
-@query("""SELECT s_suppkey, s_name || CASE WHEN s_suppkey % 4 > 0 THEN ' (' || 'ED' || s_suppkey || ')' ELSE '' END || CASE WHEN s_nationkey % 2 = 0 THEN ' in N' || s_nationkey ELSE '' END || '.' || CASE WHEN s_suppkey % 3 > 0 THEN ' ' || s_suppkey % 3 || ' runway(s).' ELSE '' END || CASE WHEN s_suppkey % 5 = 0 THEN ' No chart.' WHEN s_suppkey % 2 = 0 THEN ' vfr charts of 2026-07-09.' ELSE ' vfr charts.' END AS summary FROM supplier""")
-def p27_summary(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    code, town = F.when(k % 4 > 0, F.concat(F.lit("ED"), k)), F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("N"), "s_nationkey"))
-    return table(s, d, "supplier").select("s_suppkey", text.summary(F.col("s_name"), code, town, k % 3, F.lit("vfr"), k % 5 > 0, F.when(k % 2 == 0, "2026-07-09")).alias("summary"))
-
-
-@query("""SELECT doc_id, CASE WHEN length(text) < 400 THEN 'none' WHEN position('th' IN text[:20]) > 0 THEN 'chart' ELSE 'text' END AS kind FROM documents""")
-def p28_page_kind(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.page_kind(F.col("text"), "th", 400, 20).alias("kind"))
-
-
-@query("""SELECT user_id, CASE WHEN user_id % 3 > 0 THEN 'o' || user_id || '.example.com' END AS host, CASE WHEN user_id % 3 > 0 THEN '42' END AS project, CASE WHEN user_id % 3 > 0 THEN 'k' || user_id END AS public_key FROM (SELECT DISTINCT user_id FROM events)""")
-def p29_dsn(s: SparkSession, d: str) -> DataFrame:
-    u = F.col("user_id")
-    dsn = F.when(u % 3 == 1, F.concat(F.lit("https://k"), u, F.lit("@o"), u, F.lit(".example.com/x/42"))).when(u % 3 == 2, F.concat(F.lit("http://k"), u, F.lit("@o"), u, F.lit(".example.com/42/"))).otherwise("ftp://k@h/1")
-    return table(s, d, "events").select("user_id").distinct().select("user_id", text.dsn(dsn).alias("x")).select("user_id", "x.*")
-
-
 @query("""SELECT page_id, 'EDDF' || page_id AS slug_code, 'name-of-field-' || page_id AS slug_title FROM pages""".replace("'EDDF' || page_id", "'eddf' || page_id"))
 def p17_record_slugs(s: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
@@ -281,41 +110,12 @@ def p17_record_slugs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", text.record_slug(F.concat(F.lit(" EDDF"), k), title).alias("slug_code"), text.record_slug(F.lit(" "), title).alias("slug_title"))
 
 
-@query("""SELECT page_id, CAST(3 AS INTEGER) AS n, 'https://x.org/a/b' || page_id || '.pdf' AS first, 'http://y.org/c.PDF?x=1' AS last FROM pages""")
-def p23_pdf_links(s: SparkSession, d: str) -> DataFrame:
-    """PDF links of a page as absolute URLs, each once, in order."""
-    html = F.concat(F.lit('<a href="b'), F.col("page_id"), F.lit('.pdf">1</a><a href="/a/b'), F.col("page_id"), F.lit('.pdf">again</a><a href="x.html">2</a><a href="../t.pdf">3</a><a href="http://y.org/c.PDF?x=1">4</a>'))
-    found = text.pdf_links(html, F.lit("https://x.org/a/i.html"))
-    return table(s, d, "pages").select("page_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"), F.get(found, F.lit(2)).alias("last"))
-
-
 # ---- JSON
 
 @query("""SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 1 ELSE 2 END AS INTEGER) AS n FROM events""")
 def n01_typed_elements(s: SparkSession, d: str) -> DataFrame:
     raw = F.get(F.array(*[F.lit(x) for x in ('[{"name":1,"url":2}]', '[{"name":"a","url":"b"},{"name":1,"url":"c"},3]', '[{"name":"a","url":"b"},{"name":"c","url":"d"}]', '[{"name":"a","url":"b","x":1},{"name":"c","url":"d"},null]')]), (F.col("event_id") % 4).cast("int"))
-    return table(s, d, "events").select("event_id", raw.alias("raw")).select("event_id", F.size(text.json_strings("raw", ("name", "url"))).alias("n"))
-
-
-@query("""SELECT event_id, event_id % 3 = 0 AS week, event_id % 4 = 0 AS object FROM events""")
-def n02_shapes(s: SparkSession, d: str) -> DataFrame:
-    """Arrays of seven, and objects that aren't arrays."""
-    week = F.when(F.col("event_id") % 3 == 0, F.array_repeat(F.lit(1), 7)).otherwise(F.array_repeat(F.lit(1), 6))
-    raw = F.get(F.array(F.lit('{"09":{"tora":1}}'), F.lit("[1]"), F.lit("nope"), F.lit(None)), (F.col("event_id") % 4).cast("int"))
-    return table(s, d, "events").select("event_id", text.full_week(week).isNotNull().alias("week"), text.json_object(raw).isNotNull().alias("object"))
-
-
-@query("""SELECT event_id, user_id / 10.0 AS lat, -user_id / 5.0 AS lon, CAST(CASE WHEN user_id % 2 = 1 THEN user_id ELSE floor(user_id * 3.28084 + 0.5) END AS BIGINT) AS elevation_ft, CASE WHEN event_id % 3 > 0 THEN event_id % 3 = 1 END AS restaurant, CASE WHEN event_id % 3 > 0 THEN true END AS customs,
-          CASE WHEN event_id % 5 > 0 THEN event_id % 2 = 0 END AS ppr, 'AVGAS,Jet A-1' AS fuel, CASE event_id % 3 WHEN 0 THEN 'right' WHEN 1 THEN 'left' END AS circuit, 'Tower' AS freq FROM events""")
-def n04_community_item(s: SparkSession, d: str) -> DataFrame:
-    i, u = F.col("event_id"), F.col("user_id")
-    services = F.when(i % 3 > 0, F.concat(F.lit('"passengerFacilities":[2'), F.when(i % 3 == 1, ",5").otherwise(""), F.lit("],"))).otherwise("")
-    raw = F.concat(
-        F.lit('{"geometry":{"coordinates":['), (-u / 5.0), F.lit(","), (u / 10.0), F.lit(']},"elevation":{"value":'), u, F.lit(',"unit":'), u % 2, F.lit('},"ppr":'), F.when(i % 5 > 0, F.when(i % 2 == 0, "true").otherwise("false")).otherwise('"yes"'),
-        F.lit(',"services":{'), services, F.lit('"fuelTypes":[1,99,"2",3]},"runways":[{"designator":"09","turnDirection":'), i % 3, F.lit('},{"designator":""}],"frequencies":[{"value":"118.0","name":"Tower"},{"value":1}]}'),
-    )
-    f = table(s, d, "events").select("event_id", decode.community_item(raw).alias("f"))
-    return f.select("event_id", "f.lat", "f.lon", "f.elevation_ft", "f.restaurant", "f.customs", "f.ppr", F.array_join("f.fuel", ",").alias("fuel"), F.get("f.runways", F.lit(0))["circuit"].alias("circuit"), F.get("f.frequencies", F.lit(0))["type"].alias("freq"))
+    return table(s, d, "events").select("event_id", raw.alias("raw")).select("event_id", F.size(text.json_strings(F.col("raw"), ("name", "url"))).alias("n"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS member FROM events""")
@@ -331,15 +131,6 @@ def n06_first_known_array(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.get(first, F.lit(0)).alias("first"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 50.0 WHEN 1 THEN round_even(user_id % 100 / 4, 1) WHEN 2 THEN 100.0 END AS pct FROM events WHERE event_id % 4 <> 1 OR user_id % 100 > 4""")
-def n08_nested_percent(s: SparkSession, d: str) -> DataFrame:
-    """The first key that holds a percentage, in the object itself, then in its usage containers."""
-    i, u = F.col("event_id"), F.col("user_id")
-    raw = F.when(i % 4 == 0, '{"disk":true,"metrics":{"disk_usage":0.5}}').when(i % 4 == 1, F.concat(F.lit('{"disk":"x","disk_usage":'), u % 100 / 4, F.lit("}"))).when(i % 4 == 2, '{"usage":{"disk":1}}').otherwise('{"disk":300}')
-    e = table(s, d, "events").filter((i % 4 != 1) | (u % 100 > 4))
-    return e.select("event_id", text.nested_percent(raw, ("disk", "disk_usage"), ("metrics", "usage")).alias("pct"))
-
-
 @query("""SELECT event_id, event_type AS metric, '{"u":' || user_id || ',"t":"' || event_type || '"}' AS meta FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, event_type, NULL FROM events WHERE user_id % 2 = 1""")
 def n09_payload(s: SparkSession, d: str) -> DataFrame:
     meta = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t"))))
@@ -353,78 +144,7 @@ def n10_wide_row(s: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", "view", "click", "none")
 
 
-# ---- sources and chains of pages
-
-@query("""SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS bal FROM supplier""")
-def s02_csv(s: SparkSession, d: str) -> DataFrame:
-    """A CSV with header, read as text and cast softly."""
-    path = new_path(s, "csv")
-    bal = F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal").cast("string")).otherwise("n/a")
-    table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), bal.alias("bal")).write.option("header", True).csv(path)
-    return files.csv(s, path, {"id": "bigint", "name": "string", "bal": "double"})
-
-
-@query("""SELECT code, arg_min(name, seq) || ' ' || code AS title FROM (SELECT s_suppkey AS seq, s_name AS name, 'LS' || chr(65 + CAST(s_suppkey % 7 AS INTEGER)) || chr(65 + CAST(s_nationkey % 5 AS INTEGER)) AS code FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 4 > 0 AND s_suppkey % 11 > 0) GROUP BY 1""")
-def s03_filtered_csv(s: SparkSession, d: str) -> DataFrame:
-    """Aerodromes of one country out of a public list: known kinds, a valid code (its own, else the ident), the first row of a code."""
-    k = F.col("s_suppkey")
-    code = F.concat(F.lit("ls"), F.lower(F.char((k % 7 + 65).cast("int"))), F.char((F.col("s_nationkey") % 5 + 65).cast("int")))
-    rows = table(s, d, "supplier").select(
-        k.alias("seq"), F.when(k % 3 > 0, " ch ").otherwise("FR").alias("iso_country"), F.when(k % 4 > 0, "small_airport").otherwise("closed").alias("type"), F.when(k % 2 == 0, code).otherwise("").alias("icao_code"),
-        F.when(k % 11 > 0, F.when(k % 2 == 0, "CH-0001").otherwise(code)).otherwise("CH-0001").alias("ident"), F.col("s_name").alias("name"),
-    )
-    rows = rows.filter("s_suppkey is null or true") if "s_suppkey" in rows.columns else rows
-    return files.aerodromes(rows.withColumn("icao_code", F.when(F.col("seq") % 11 > 0, F.col("icao_code")).otherwise("")), "CH", "seq").select("code", "title")
-
-
-@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'end' WHEN 1 THEN NULL ELSE 'c' END AS html FROM part WHERE p_partkey < 300""".replace("CASE p_partkey % 3 WHEN 0 THEN 'end' WHEN 1 THEN NULL ELSE 'c' END", "CASE WHEN p_partkey % 3 = 0 THEN 'end' END"))
-def s06_frame_chain(s: SparkSession, d: str) -> DataFrame:
-    """Two named frames deep: pages found by the frame's src, relative to the page; null where a frame is missing."""
-    k = F.col("p_partkey")
-    p = table(s, d, "part").filter("p_partkey < 300")
-    at = lambda name: F.concat(F.lit(f"http://x/{name}/"), k, F.lit(".html"))
-    start = p.select(at("a").alias("url"), F.concat(F.lit('<frame name="nav" src="../b/'), k, F.lit('.html"><frame src="z" name="z">')).alias("html"))
-    middle = p.select(at("b").alias("url"), F.when(k % 3 == 0, F.concat(F.lit('<iframe src="/c/'), k, F.lit('.html" name="menu">'))).otherwise("none").alias("html"))
-    last = p.select(at("c").alias("url"), F.lit("end").alias("html"))
-    found = chains.frame_chain(p.select(k.alias("id"), at("a").alias("url")), start.unionByName(middle).unionByName(last), ["nav", "menu"])
-    return found.select("id", "html")
-
-
-@query("""SELECT o_custkey AS root, count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 1) GROUP BY 1""")
-def s09_tree(s: SparkSession, d: str) -> DataFrame:
-    """Leaf documents under a node, at most two folders down: customers are roots, orders folders or leaves, line items leaves."""
-    o = table(s, d, "orders")
-    nodes = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent"), F.when(F.col("o_orderkey") % 2 == 0, "x").alias("href"))
-    nodes = nodes.unionByName(table(s, d, "lineitem").select(F.lit(None).cast("string").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent"), F.lit("y").alias("href")))
-    roots = o.select(F.concat(F.lit("c"), "o_custkey").alias("id")).distinct()
-    return chains.leaves(roots, nodes, 2).groupBy(F.substring("root", 2, 20).cast("bigint").alias("root")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT k, CASE WHEN k % 3 > 0 THEN k * 2 END AS v FROM (SELECT s_suppkey AS k FROM supplier)""")
-def s10_exact_lookup(s: SparkSession, d: str) -> DataFrame:
-    """Landed answers to lookups: the first item, if its code is the one that was asked for."""
-    k = F.col("s_suppkey")
-    code = F.concat(F.lit("ED"), k)
-    body = F.concat(F.lit('{"items":[{"icaoCode":"'), F.when(k % 3 > 0, code).otherwise("EDXX"), F.lit('","v":'), k * 2, F.lit("}]}"))
-    item = files.first_item(F.col("body"), "$.items", "$.icaoCode", F.col("code"))
-    return table(s, d, "supplier").select(k.alias("k"), code.alias("code"), body.alias("body")).select("k", F.try_variant_get(item, "$.v", "bigint").alias("v"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 4 > 0 THEN 'METAR X' || event_id END AS raw, CASE WHEN event_id % 4 > 0 AND event_id % 3 > 0 THEN CAST(floor(value + 0.5) AS BIGINT) END AS altim FROM events""")
-def s11_metar_json(s: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id")
-    body = F.when(i % 4 > 0, F.concat(F.lit('[{"rawOb":"METAR X'), i, F.lit('","altim":'), F.when(i % 3 > 0, F.col("value").cast("string")).otherwise('"n"'), F.lit(',"clouds":[]}]'))).otherwise('{"error":1}')
-    return table(s, d, "events").select("event_id", files.metar(body).alias("m")).select("event_id", "m.raw", "m.altim")
-
-
-@query("""SELECT event_id, CAST(3 AS BIGINT) AS hours, CAST(user_id * 3 + 3 AS BIGINT) AS requests FROM events""")
-def s12_nested_groups(s: SparkSession, d: str) -> DataFrame:
-    """Nested analytics JSON: hourly groups of every zone, summed."""
-    u = F.col("user_id")
-    hour = lambda n: F.concat(F.lit('{"sum":{"requests":'), u + n, F.lit("}}"))
-    raw = F.concat(F.lit('{"data":{"viewer":{"zones":[{"groups":['), hour(0), F.lit(","), hour(1), F.lit(']},{"groups":['), hour(2), F.lit("]}]}}}"))
-    groups = files.grouped(table(s, d, "events").select("event_id", raw.alias("raw")), "raw", "$.data.viewer.zones", "$.groups")
-    return groups.groupBy("event_id").agg(F.count(F.lit(1)).alias("hours"), F.sum(F.try_variant_get("item", "$.sum.requests", "bigint")).alias("requests"))
+# ---- sources and what is kept
 
 
 @query("""SELECT event_id, event_id % 3 AS n, event_id % 3 = 0 AS empty FROM events""".replace("event_id % 3 AS n", "CAST(event_id % 3 AS INTEGER) AS n"))
@@ -435,16 +155,6 @@ def s14_json_lists(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.size(items).alias("n"), (F.size(items) == 0).alias("empty"))
 
 
-@query("""SELECT c_nationkey AS k, count(*) + CASE WHEN c_nationkey % 2 = 0 THEN 1000 ELSE 0 END AS n FROM customer GROUP BY c_nationkey""")
-def s15_state(s: SparkSession, d: str) -> DataFrame:
-    """Last counts by country, kept in a small table that is written anew as a whole."""
-    path = new_path(s, "state")
-    counts = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    files.save_state(counts, path)
-    files.save_state(files.state(s, path).withColumn("n", F.col("n") + F.when(F.col("k") % 2 == 0, 1000).otherwise(0)), path)
-    return files.state(s, path)
-
-
 @query("""SELECT n_name, n_nationkey IN (1, 2, 3) AS gated, CASE WHEN n_nationkey % 5 = 0 THEN 'T' || n_nationkey ELSE n_name END AS title FROM nation""")
 def s17_dimensions(s: SparkSession, d: str) -> DataFrame:
     """Facts of code as small tables: a set of gated keys and a map of titles."""
@@ -455,51 +165,6 @@ def s17_dimensions(s: SparkSession, d: str) -> DataFrame:
     return j.select("n_name", F.coalesce("gated", F.lit(False)).alias("gated"), F.coalesce("t", "n_name").alias("title"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE 'http://x/' || p_partkey || '/f' END AS found FROM part WHERE p_partkey < 200""")
-def s18_frontier(s: SparkSession, d: str) -> DataFrame:
-    """From an entry page to the first page with frames, three hops at most: on one level the first candidate with frames, else the first that can be read goes on."""
-    k = F.col("p_partkey")
-    p = table(s, d, "part").filter("p_partkey < 200")
-    at = lambda name: F.concat(F.lit("http://x/"), k, F.lit(f"/{name}"))
-    page = lambda name, html: p.select(at(name).alias("url"), html.alias("html"))
-    to = lambda *names: F.lit("".join(f'<a href="{n}">x</a>' for n in names))
-    frames = F.lit("<frameset><frame name='a' src='b'></frameset>")
-    all_ = page("s", F.when(k % 4 == 0, frames).otherwise(to("gone", "a", "b"))).withColumn("url", F.when(F.element_at(F.split("url", "/"), -2).cast("int") % 4 == 0, F.regexp_replace("url", "s$", "f")).otherwise(F.col("url")))
-    all_ = all_.unionByName(page("a", to("s", "c", "f2"))).unionByName(page("b", to("q"))).unionByName(page("c", F.when(k % 4 == 1, to("f")).otherwise(F.lit("dead"))))
-    all_ = all_.unionByName(p.filter("p_partkey % 4 = 1").select(at("f").alias("url"), frames.alias("html"))).unionByName(p.filter("p_partkey % 4 = 2").select(at("f").alias("url"), frames.alias("html")))
-    all_ = all_.unionByName(p.filter("p_partkey % 4 = 2").select(at("f2").alias("url"), to("f").alias("html")))
-    start = p.select(k.alias("id"), F.when(k % 4 == 0, at("f")).when(k % 4 == 2, at("f2")).otherwise(at("s")).alias("url"))
-    return chains.frontier(start, all_, 3, 8)
-
-
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <= 4 THEN 'end' ELSE 'stub' END AS kind FROM part WHERE p_partkey < 300""")
-def s19_redirects(s: SparkSession, d: str) -> DataFrame:
-    """Stub pages followed up to four times, to the page that isn't one (or the fourth)."""
-    k = F.col("p_partkey")
-    p = table(s, d, "part").filter("p_partkey < 300")
-    hops = p.select("p_partkey", F.explode(F.sequence(F.lit(0), (k % 7).cast("int"))).alias("h"))
-    stub = F.concat(F.lit('<meta http-equiv="refresh" content="0; url=..\\\\p\\\\'), k, F.lit("-"), F.col("h") + 1, F.lit('.html">'))
-    pages_ = hops.select(F.concat(F.lit("http://x/p/"), k, F.lit("-"), "h", F.lit(".html")).alias("url"), F.when(F.col("h") == k % 7, "end").otherwise(stub).alias("html"))
-    found = chains.redirected(p.select(k.alias("id"), F.concat(F.lit("http://x/p/"), k, F.lit("-0.html")).alias("url")), pages_, 4)
-    return found.select("id", F.when(F.col("html") == "end", "end").otherwise("stub").alias("kind"))
-
-
-@query()
-def p20_menu_pairs(s: SparkSession, d: str) -> DataFrame:
-    """Aerodromes of a menu section: pairs of a title and its details, the first of a code."""
-    k = F.col("page_id")
-    pair = lambda code, n: F.concat(F.lit(f"<div><a id='x'>AD 2.{code}</a><a href='{code}.html'> {code} Name "), k, F.lit(f"</a></div><div><a href='c/{code}-{n}.html'>CHARTS RELATED</a></div>"))
-    html = F.concat(F.lit("<body><div id='de-AD-2details'>"), pair("EDDF", 1), pair("EDDF", 2), pair("EDDM", 1), F.lit("<div>odd</div></div></body>"))
-    return chains.menu(table(s, d, "pages").select("page_id", F.lit("http://x/m/").alias("url"), html.alias("html")), "AD-2details")
-
-
-@query()
-def p22_table_rows(s: SparkSession, d: str) -> DataFrame:
-    """Aerodromes out of table rows: code and link of the first cell, name of the second; heads and spacers are left out."""
-    html = F.concat(F.lit("<table><tr><td>head</td></tr><tr><td><a>AD 3</a><a href='q'>q</a></td><td>x</td></tr><tr><td><a>LOWW</a> <a href='w.html'>x</a></td><td>Wien "), F.col("page_id"), F.lit("</td></tr><tr><td>no link</td><td>y</td></tr></table>"))
-    return chains.table_rows(table(s, d, "pages").select("page_id", F.lit("http://x/t/").alias("url"), html.alias("html")))
-
-
 @query("""SELECT page_id, 6 AS bytes FROM pages WHERE page_id % 3 > 0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 3 = 0""")
 def s08_largest_image(s: SparkSession, d: str) -> DataFrame:
     html = F.when(F.col("page_id") % 3 > 0, 'x data:image/png;base64,AAAA" data:image/png;base64,AAAAAAAA" data:image/png;base64,AAAAA').otherwise("none")
