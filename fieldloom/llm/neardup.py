@@ -41,8 +41,8 @@ WORDS = 5
 SIMILAR = 0.8
 PICKS, SKETCHES = 6, 40
 SHORT, SHORT_SKETCHES = 64, 16
-#: Differences and members of a pivot that one group looks through, and members of a bucket that are compared with all others in a round.
-ITEMS, MEMBERS, PIVOTS = 100_000, 100_000, 8
+#: Members of a bucket that are compared with all others in a round.
+PIVOTS = 8
 #: Shingles with more places in a text than this have one bit mask for all of them.
 OFTEN = 64
 IDS_BROADCAST = 1_000_000
@@ -229,10 +229,6 @@ def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, adds array<bigint>, lacks array<bigint>, pivot_n bigint")
 
 
-def _parts(item: F.Column, parts: F.Column) -> F.Column:  # ty: ignore
-    return F.floor((F.shiftright(item, 48) + 32768) * parts / 65536)
-
-
 def meetings(known: DataFrame) -> DataFrame:
     """(kind, a, item, id, left): members of a pivot z that share a difference from z where any link has to.
 
@@ -242,9 +238,8 @@ def meetings(known: DataFrame) -> DataFrame:
     One of them doesn't link to z, which makes the first bound positive, and the second as well unless a member is loose (lacks
     more than it adds). Kind 0 are adds of members that aren't loose, kind 1 adds and lacks where one of both is.
 
-    Items go out as lists, a list for each of the pivot's ranges of hashes, of which there are as many as make about `ITEMS` items each
-    (members of pivots with more than `MEMBERS` are dealt over several groups as well); what no other class shares, nearly all of
-    them, ends there. The others stand in one order, rarest first. A member has at least `needed` of them in common with any member
+    What no other class shares, nearly all of the items, ends at sums that are combined before the shuffle. The others stand in one order,
+    rarest first. A member has at least `needed` of them in common with any member
     that it may link to (the bound, with the least that others of the pivot can have), so the first one that both share has as many from
     it on (`left`): members with fewer leave, and the others only keep the items up to there.
     """
@@ -267,28 +262,9 @@ def meetings(known: DataFrame) -> DataFrame:
     # members of the pivot's class have no one to meet if no other is firm
     rows = listed(k.filter(firm & F.col("g_out").isNotNull()), 0, F.col("adds"), adds_needed)
     rows = rows.unionByName(listed(k.filter("any_loose"), 1, F.concat("adds", "lacks"), all_needed))
-    room = rows.groupBy("kind", "a").agg(F.sum(F.size("items")).alias("all"), F.count(F.lit(1)).alias("members"), F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
-    room = room.select("kind", "a", F.ceil(F.col("members") / MEMBERS).cast("int").alias("deals"), F.ceil(F.col("all") / F.lit(ITEMS) / F.ceil(F.col("members") / MEMBERS)).cast("int").alias("parts"))
+    room = rows.groupBy("kind", "a").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("kind", "a")
     rows = rows.join(bounded_broadcast(materialise(room, "dup-room"), IDS_BROADCAST), ["kind", "a"])
-    spread = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")))
-    own = F.when(F.col("parts") == 1, F.col("items")).otherwise(F.filter("items", lambda x: _parts(x, F.col("parts")) == F.col("part")))
-    spread = spread.select("kind", "a", "part", "deal", "deals", "id", "class", "loose", "needed", own.alias("items")).filter(F.size("items") > 0)
-
-    def shared(group: pa.Table) -> pa.Table:
-        lists = group["items"].combine_chunks()
-        items = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-        own = group["class"].to_numpy()[row]
-        order = np.lexsort((own, items))
-        first = np.ones(len(row), bool)
-        first[1:] = items[order][1:] != items[order][:-1]
-        begin = np.flatnonzero(first)
-        end = np.append(begin[1:], len(row))
-        apart = own[order][begin] != own[order][end - 1]
-        keep = order[np.repeat(apart | (group["deals"][0].as_py() > 1), end - begin)]
-        return group.drop_columns(["part", "deal", "deals", "items"]).take(pa.array(row[keep])).append_column("item", pa.array(items[keep]))
-
-    some = spread.groupBy("kind", "a", "part", "deal").applyInArrow(shared, "kind int, a bigint, id bigint, class bigint, loose boolean, needed int, item bigint")
+    some = materialise(rows.select("kind", "a", "id", "class", "loose", "needed", F.explode("items").alias("item")), "dup-items")
     often = some.groupBy("kind", "a", "item").agg(F.count(F.lit(1)).alias("often"), F.min("class").alias("x"), F.max("class").alias("y"), F.max("loose").alias("some_loose"))
     often = often.filter("x <> y and (kind = 0 or some_loose)").drop("x", "y", "some_loose")
     left = F.row_number().over(Window.partitionBy("kind", "a", "id").orderBy(F.desc("often"), "item"))  # one member's items
