@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, lm, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
+from fieldloom.llm import ann, convtrie, lm, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -54,6 +54,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neardup": op8_neardup,
         "op9_lm": op9_lm,
         "op10_urls": op10_urls,
+        "op11_trie": op11_trie,
         "pipeline": pipeline,
     }
 
