@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import ann, convtrie, lm, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
+from fieldloom.llm import ann, convtrie, fingerprints, lm, mixing, neardup, pieces, quality, secrets, sharding, urlrules, warc
 from fieldloom.session import table
 
 
@@ -58,6 +58,10 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm": op9_lm,
         "op10_urls": op10_urls,
         "op11_trie": op11_trie,
+        "op13_fingerprints": op13_fingerprints,
         "pipeline": pipeline,
     }
 
