@@ -472,13 +472,13 @@ def k04_patch(s: SparkSession, d: str) -> DataFrame:
     return upsert.patch(stored, updates, "k", "seq", ["hours"])
 
 
-@query("""SELECT s_suppkey, s_nationkey, CASE WHEN s_nationkey % 2 = 0 THEN s_acctbal * 2 ELSE s_acctbal END AS bal FROM supplier WHERE s_nationkey % 2 <> 0 OR s_acctbal > 0""")
+@query("""WITH incoming AS (SELECT s_suppkey, s_nationkey, s_acctbal * 2 AS bal FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal > 5000)
+          SELECT s_suppkey, s_nationkey, s_acctbal AS bal FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.s_nationkey = s.s_nationkey) UNION ALL SELECT * FROM incoming""")
 def k01_replace(s: SparkSession, d: str) -> DataFrame:
+    """Groups that the batch holds are replaced whole; those without incoming rows stay as they were."""
     stored = table(s, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("bal"))
-    even = stored.filter("s_nationkey % 2 = 0")
-    incoming = even.filter("bal > 0").withColumn("bal", F.col("bal") * 2)
-    gone = even.join(incoming.select("s_nationkey").distinct(), "s_nationkey", "left_anti")  # nations without incoming rows stay
-    return upsert.replace_by_key(stored, incoming, "s_nationkey").join(gone.filter("bal <= 0"), "s_suppkey", "left_anti")
+    incoming = stored.filter("s_nationkey % 2 = 0 and bal > 5000").withColumn("bal", F.col("bal") * 2)
+    return upsert.replace_by_key(stored, incoming, "s_nationkey")
 
 
 @query("""SELECT o_custkey, arg_max(p, o_orderkey) AS p FROM (SELECT o_custkey, o_orderkey, coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END, '-') AS p FROM orders) GROUP BY 1""")
@@ -654,7 +654,7 @@ def extra_pricing(s: SparkSession, d: str) -> DataFrame:
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
-from fieldloom.plans import facilities, texts  # noqa: E402, F401  they register their queries
+from fieldloom.plans import facilities, streams, texts  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -171,14 +171,6 @@ def s08_largest_image(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.length(text.largest_image(html)).alias("bytes"))
 
 
-@query("""SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1""")
-def t08_published_changes(s: SparkSession, d: str) -> DataFrame:
-    """Told only where something changed: keys whose counts differ from what was last published."""
-    now = table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    part = table(s, d, "events").filter("event_id % 3 > 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return now.join(part.withColumnRenamed("n", "m"), "user_id").filter("n <> m").select("user_id", F.col("m").alias("n"))
-
-
 @query("""SELECT event_id FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) WHERE t >= 1704067200 + 3600""")
 def t06_retained(s: SparkSession, d: str) -> DataFrame:
     """What a retention cutoff leaves: rows at the cutoff stay."""
