@@ -59,10 +59,16 @@ def dst_active(zone: Column, ts: Column) -> Column:
 
 
 def clock_minutes(text: Column, colon: bool = True) -> Column:
-    """Minutes of HH:MM (24:00 allowed), null for anything else; without colon HHMM is read as well."""
-    p = r"^([01]\d|2[0-4])" + (":" if colon else ":?") + r"([0-5]\d)$"
-    m = F.try_to_number(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit("99")) * 60 + F.try_to_number(F.nullif(F.regexp_extract(text, p, 2), F.lit("")), F.lit("99"))
-    return F.when(m <= 1440, m).cast("int")
+    """Minutes of the HH:MM that text begins with (hours up to 24), null without one; without colon HHMM is read as well."""
+    p = r"^(\d{2})" + (":" if colon else ":?") + r"(\d{2})"
+    hour, minute = (F.nullif(F.regexp_extract(F.trim(text), p, i), F.lit("")).cast("int") for i in (1, 2))
+    return F.when((hour <= 24) & (minute <= 59), hour * 60 + minute)
+
+
+def clock_of(minutes: Column) -> Column:
+    """HH:MM of rounded minutes, which come round after 24:00."""
+    m = F.pmod(F.floor(minutes + 0.5).cast("int"), F.lit(1441))
+    return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), F.pmod(m, F.lit(60)))
 
 
 def clock_text(minutes: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.common import let
 from fieldloom.functions.dates import clock_text, utc_minute, utc_weekday
 from fieldloom.functions.measures import round_up_half
 
@@ -40,32 +41,40 @@ def sun_minutes(ts: Column, lat: Column, lon: Column, altitude: float = OFFICIAL
     return F.struct(rise.alias("rise"), down.alias("set"))
 
 
-def _window(day: Column, ts: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
-    sun = sun_minutes(ts, lat, lon)
+def _window(day: Column, ts: Column, lat: Column, lon: Column) -> Column:
+    """struct(a, z): minutes from which and to which a day is open, null where they aren't known or don't fit."""
 
-    def minute(b: Column) -> Column:
-        return F.when(b["t"] == "time", b["m"]).when(b["t"] == "sr", sun["rise"]).when(b["t"] == "ss", sun["set"])
+    def of(sun: Column) -> Column:
+        minute = lambda b: F.when(b["t"] == "time", b["m"]).when(b["t"] == "sr", sun["rise"]).when(b["t"] == "ss", sun["set"])
+        open_ = F.when(day["kind"] == "h24", 0).when(day["kind"] == "window", minute(day["open"]))
+        close = F.when(day["kind"] == "h24", 1440).when(day["kind"] == "window", minute(day["close"]))
+        return let(F.struct(open_.alias("a"), close.alias("z")), lambda w: F.when(w["z"] > w["a"], w))
 
-    open_ = F.when(day["kind"] == "h24", 0).when(day["kind"] == "window", minute(day["open"]))
-    close = F.when(day["kind"] == "h24", 1440).when(day["kind"] == "window", minute(day["close"]))
-    fits = close > open_
-    return F.when(fits, open_), F.when(fits, close)
+    return let(sun_minutes(ts, lat, lon), of)
 
 
 def open_status(hours: Column, lat: Column, lon: Column, ts: Column) -> Column:
     """struct(state, closes_at, opens_at); a day is open from its opening up to, not at, its close."""
-    day = F.when(F.size(hours) == 7, F.get(hours, utc_weekday(ts)))
-    kind, now = day["kind"], utc_minute(ts)
-    a, z = _window(day, ts, lat, lon)
-    state = F.when(kind == "closed", "closed").when(a.isNull() | z.isNull(), "unknown").when((now >= a) & (now < z), "open").otherwise("closed")
-    closes = F.when((state == "open") & (kind == "window"), z)
-    return F.struct(state.alias("state"), closes.alias("closes_at"), F.when((state == "closed") & (now < a), a).alias("opens_at"))
+    now = utc_minute(ts)
+
+    def of(day: Column, w: Column) -> Column:
+        kind = day["kind"]
+        state = F.when(kind == "closed", "closed").when(w.isNull(), "unknown").when((now >= w["a"]) & (now < w["z"]), "open").otherwise("closed")
+        closes = lambda s: F.when((s == "open") & (kind == "window"), w["z"])
+        opens = lambda s: F.when((s == "closed") & (now < w["a"]), w["a"])
+        return let(state, lambda s: F.struct(s.alias("state"), closes(s).alias("closes_at"), opens(s).alias("opens_at")))
+
+    return let(_today(hours, ts), lambda day: let(_window(day, ts, lat, lon), lambda w: of(day, w)))
 
 
 def open_until(hours: Column, lat: Column, lon: Column, target: Column, ts: Column) -> Column:
     """Whether the day's window holds target, its close included; never for days that aren't known."""
-    a, z = _window(F.when(F.size(hours) == 7, F.get(hours, utc_weekday(ts))), ts, lat, lon)
-    return F.coalesce((target >= a) & (target <= z), F.lit(False))
+    holds = lambda w: F.coalesce((target >= w["a"]) & (target <= w["z"]), F.lit(False))
+    return let(let(_today(hours, ts), lambda day: _window(day, ts, lat, lon)), holds)
+
+
+def _today(hours: Column, ts: Column) -> Column:
+    return F.when(F.size(hours) == 7, F.get(hours, utc_weekday(ts)))
 
 
 def _day_text(d: Column) -> Column:

@@ -41,15 +41,6 @@ def d08_open_until(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", hours.open_until(week, F.lit(50.0), F.lit(8.0), F.lit(600), F.col("ts").cast("timestamp")).alias("until"))
 
 
-@query("""SELECT o_orderkey, z, CASE WHEN z = 'UTC' THEN false ELSE o_orderdate >= CASE year(o_orderdate) WHEN 1995 THEN DATE '1995-03-26' WHEN 1996 THEN DATE '1996-03-31' WHEN 1997 THEN DATE '1997-03-30' END AND o_orderdate < CASE year(o_orderdate) WHEN 1995 THEN DATE '1995-09-24' WHEN 1996 THEN DATE '1996-10-27' WHEN 1997 THEN DATE '1997-10-26' END END AS dst
-          FROM (SELECT o_orderkey, o_orderdate + INTERVAL 12 HOUR AS o_orderdate, CASE WHEN o_orderkey % 4 = 0 THEN 'UTC' ELSE 'Europe/Berlin' END AS z FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997)""")
-def d09_dst(s: SparkSession, d: str) -> DataFrame:
-    zone = F.when(F.col("o_orderkey") % 4 == 0, "UTC").otherwise("Europe/Berlin")
-    o = table(s, d, "orders").filter(F.year("o_orderdate").between(1995, 1997))
-    ts = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + 43200)
-    return o.select("o_orderkey", zone.alias("z"), dates.dst_active(zone, ts).alias("dst"))
-
-
 @query()
 def d11_sun_times(s: SparkSession, d: str) -> DataFrame:
     """Minutes of sunrise, sunset and civil twilight at made-up positions; null in polar day and night."""
