@@ -70,7 +70,7 @@ def test_long_texts_are_cut_between_words(monkeypatch):
 
 def test_keys_that_share_a_digest():
     keys = np.array([[1, 2, 0], [3, 4, 0], [1, 2, 0], [3, 4, 5], [9, 9, 9]], np.uint64)
-    out = phrases._frequent(np.array([7, 7, 7, 7, 8]), keys, np.array([2, 1, 3, 9, 5]), 5).to_pydict()
+    out = phrases._frequent(np.array([7, 7, 7, 7, 8], np.uint64), keys, np.array([2, 1, 3, 9, 5]), 5).to_pydict()
     assert sorted(zip(out["codes"], out["n"], strict=True)) == [([1, 2], 5), ([3, 4, 5], 9), ([9, 9, 9], 5)]
 
 
