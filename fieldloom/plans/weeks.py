@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions import dates, hours, schedules
+from fieldloom.functions import dates, distances, hours, schedules
 from fieldloom.plans.registry import query
 from fieldloom.plans.texts import KIND, _week
 from fieldloom.session import table
@@ -232,3 +232,37 @@ def d16_clock(s: SparkSession, d: str) -> DataFrame:
     raw = F.expr(CLOCKS)
     told = dates.clock_of(F.expr(f"CAST({P} % 3000 - 700 AS INT)"))
     return table(s, d, "orders").select(F.col("o_orderkey").alias("k"), dates.clock_minutes(raw).alias("strict"), dates.clock_minutes(raw, colon=False).alias("loose"), told.alias("told"))
+
+
+# ---- declared distances
+
+
+def _value(x: str) -> str:
+    return f"CASE WHEN ({x}) % 5 = 0 THEN 'NIL' ELSE CAST(({x}) % 4000 AS STRING) END || CASE WHEN ({x}) % 7 = 0 THEN ' T_DIST;VAL;' || CAST({x} AS STRING) || ' M' WHEN ({x}) % 31 = 0 THEN ' x' ELSE '' END"
+
+
+def _runway_row(x: str, y: str) -> str:
+    side = f"CASE ({x}) % 6 WHEN 0 THEN 'L' WHEN 1 THEN 'R' WHEN 2 THEN 'G' ELSE '' END"
+    values = " || ' ' || ".join(_value(f"{y} {{div}} {n} + {n}") for n in (1, 3, 7, 20))
+    return f"lpad(CAST(({x}) % 40 AS STRING), CASE WHEN ({x}) % 9 = 0 AND ({x}) % 40 < 10 THEN 1 ELSE 2 END, '0') || {side} || ' ' || {values} || CASE ({y}) % 4 WHEN 0 THEN ' NIL ' WHEN 1 THEN ' DTHR 50 M. ' WHEN 2 THEN ' 12 34 ' ELSE ' ' END"
+
+
+DISTANCES = f"""CASE WHEN {K} % 17 > 0 THEN CASE {K} % 3 WHEN 0 THEN '01 1 2 3 4 RWY (M) Remarks 1 2  3 4 5 6 ' WHEN 1 THEN 'RWY Remarks none ' ELSE '' END
+  || {_runway_row(K, P)} || {_runway_row(P, K)} || {_runway_row(f"{K} + 1", f"{K} + {P}")} || {_runway_row(K, f"{P} * 3")} || {_runway_row(f"{P} {{div}} 3", f"{P} + 5")} END"""
+
+
+@query(
+    rf"""WITH RECURSIVE src AS (SELECT o_orderkey AS k, {DISTANCES} AS raw FROM orders), bare AS (SELECT k, regexp_replace(regexp_replace(raw, '[A-Z][A-Z0-9_]*;[^\s;]+;\d+', ' ', 'g'), '\bM\b', ' ', 'g') AS t FROM src WHERE raw IS NOT NULL),
+      body AS (SELECT k, CASE WHEN regexp_matches(t, '(?s)\bRemarks\b.*?\b1\s+2\s+3\s+4\s+5\s+6\b') THEN regexp_extract(t, '(?s)^.*?\bRemarks\b.*?\b1\s+2\s+3\s+4\s+5\s+6\b(.*)$', 1) ELSE t END AS t FROM bare),
+      ws AS (SELECT k, regexp_extract_all(t, '\S+') AS w FROM body), tok AS (SELECT k, unnest(w) AS w, unnest(range(len(w))) AS i FROM ws),
+      flags AS (SELECT k, i, w, regexp_matches(w, '^(0?[1-9]|[12][0-9]|3[0-6])[LRCG]?$') AS name, regexp_matches(w, '^(NIL|[0-9]+)$') AS num FROM tok),
+      near AS (SELECT *, lead(num, 1, false) OVER o AND lead(num, 2, false) OVER o AND lead(num, 3, false) OVER o AND lead(num, 4, false) OVER o AS four, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS c, lead(w, 4) OVER o AS e FROM flags WINDOW o AS (PARTITION BY k ORDER BY i)),
+      cand AS (SELECT * FROM near WHERE name AND four), nx AS (SELECT c.k, c.i, min(d.i) AS j FROM cand c JOIN cand d ON c.k = d.k AND c.i + 5 <= d.i GROUP BY c.k, c.i),
+      f AS (SELECT k, min(i) AS i FROM cand GROUP BY k UNION ALL SELECT f.k, nx.j FROM f JOIN nx ON nx.k = f.k AND nx.i = f.i),
+      rws AS (SELECT k, i, lpad(regexp_extract(w, '^[0-9]+'), 2, '0') || regexp_extract(w, '[LRCG]?$') AS runway, TRY_CAST(a AS BIGINT) AS tora, TRY_CAST(b AS BIGINT) AS toda, TRY_CAST(c AS BIGINT) AS asda, TRY_CAST(e AS BIGINT) AS lda FROM f JOIN cand USING (k, i))
+      SELECT k, runway, tora, toda, asda, lda FROM rws WHERE coalesce(tora, toda, asda, lda) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, runway ORDER BY i) = 1""".replace("{div}", "//").replace("{{", "{").replace("}}", "}")
+)
+def p08_declared_distances(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a table among marks, units, remarks and numbers of its head; a row takes its five tokens away from the next."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), distances.declared(F.expr(DISTANCES.format(**SPARK))).alias("d"))
+    return o.select("k", F.explode("d").alias("x")).select("k", "x.*")
