@@ -104,11 +104,11 @@ def a27_key_parity(s: SparkSession, d: str) -> DataFrame:
     return both.select("k", F.when(F.col("change") == "removed", "missing in second").otherwise("missing in first").alias("side"))
 
 
-@query("""SELECT field, coalesce(arg_min(stem, seq) FILTER (suffix = ''), arg_min(stem, seq)) AS first_stem, string_agg(CASE WHEN suffix = '' THEN 'VFR' ELSE upper(suffix) END, ',' ORDER BY seq) AS charts FROM (SELECT p_partkey AS seq, split_part(p_name, ' ', 1) AS field, CASE WHEN p_size % 3 = 0 THEN '' ELSE replace(p_type, ' ', '_') END AS suffix, p_name AS stem FROM part WHERE p_partkey < 400) GROUP BY 1""")
+@query("""SELECT field, coalesce(arg_min(stem, seq) FILTER (suffix = ''), arg_min(stem, seq)) AS first_stem, string_agg(CASE WHEN suffix = '' THEN 'VFR' ELSE upper(suffix) END, ',' ORDER BY seq) AS charts FROM (SELECT p_partkey AS seq, split_part(p_name, ' ', 1) AS field, CASE WHEN p_size % 3 = 0 THEN '' ELSE replace(p_type, ' ', '_') END AS suffix, p_name AS stem FROM part) GROUP BY 1""")
 def a28_charts_by_stem(s: SparkSession, d: str) -> DataFrame:
     """Files by the part of their stem before the first _, whose rest names the chart; the plain one, or else the first, is primary."""
     stem = F.concat(F.split("p_name", " ")[0], F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("_"), F.replace("p_type", F.lit(" "), F.lit("_")))))
-    f = table(s, d, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("seq"), "p_name", stem.alias("stem"))
+    f = table(s, d, "part").select(F.col("p_partkey").alias("seq"), "p_name", stem.alias("stem"))
     f = f.withColumn("field", F.split("stem", "_")[0]).withColumn("suffix", F.regexp_replace("stem", "^[^_]*_?", ""))
     name = F.when(F.col("suffix") == "", "VFR").otherwise(F.upper("suffix"))
     first = F.coalesce(F.min_by("p_name", F.when(F.col("suffix") == "", F.col("seq"))), F.min_by("p_name", "seq"))
