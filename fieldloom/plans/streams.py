@@ -15,7 +15,8 @@ LEVEL = "CASE WHEN value >= 90 THEN 'crit' WHEN value >= 70 THEN 'warn' ELSE 'ok
 
 
 def _event_stream(s: SparkSession, d: str) -> DataFrame:
-    return s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    files = f"{d}/events.parque[t]"  # a pattern fits one file as well as a folder of them; a plain path has to be a folder
+    return s.readStream.schema(table(s, d, "events").schema).parquet(files).withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT 'u' || user_id AS key, t // {DAY} AS n, arg_min(t, event_id) AS t, arg_min({LEVEL}, event_id) AS status FROM {EV} GROUP BY 1, 2),
