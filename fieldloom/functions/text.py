@@ -99,12 +99,6 @@ def code_guards(code: Column) -> Column:
     return F.struct(code.rlike("^[A-Z]{4}$").alias("ingest"), code.rlike("^[A-Z0-9]{4}$").alias("api"), code.rlike("^[A-Z]{2,4}$").alias("contact"))
 
 
-def phone(text: Column) -> Column:
-    """Number after a label, if it has 7 to 15 digits."""
-    found = F.regexp_extract(text, r"(?i)(?:tel|phone)\w*\.?\s*:?\s*(\+?[0-9][0-9 ()/-]+)", 1)
-    return F.when(F.regexp_count(found, F.lit("[0-9]")).between(7, 15), F.trim(found))
-
-
 def language_vote(text: Column, german: str, english: str, glyphs: str = "[äöüßÄÖÜ]") -> Column:
     """de if markers and umlauts of German are more than markers of English, else en; ties and no text are en."""
     count = lambda p: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p))
