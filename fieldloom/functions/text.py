@@ -135,9 +135,6 @@ def first_known(arrays: list[Column]) -> Column:
     return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays])
 
 
-def full_week(array: Column) -> Column:
-    return F.when(F.size(array) == 7, array)
-
 
 def json_text(doc: Column, path: str, most: int | None = None) -> Column:
     """A string field of parsed JSON (not a number's text), cut to `most` characters; null for any other type."""

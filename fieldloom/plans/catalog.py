@@ -649,7 +649,7 @@ def extra_pricing(s: SparkSession, d: str) -> DataFrame:
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
-from fieldloom.plans import facilities, links, sections, streams, texts, weather, weeks  # noqa: E402, F401  they register their queries
+from fieldloom.plans import facilities, links, sections, sources, streams, texts, weather, weeks  # noqa: E402, F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
