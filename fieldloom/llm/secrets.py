@@ -4,14 +4,16 @@ Three base patterns are searched in whole texts. On top of them, runs of base64
 decoded and parsed: a span is reported only if its bytes are what they claim to be.
 
 * jwt - a signed token: its header is base64url JSON with a string `alg`, its payload base64url JSON, a third part follows;
-* der - base64 (of either alphabet, also wrapped into lines or inside a longer run) or hex of an ASN.1 SEQUENCE whose nested lengths fit exactly and
+* der - base64 (of either alphabet, also wrapped into lines) or hex, either also inside a longer run, of an ASN.1 SEQUENCE whose nested lengths fit exactly and
   that has the shape of a private key: PKCS#1, DSA, SEC 1, or PKCS#8 with a key's identifier, plain or encrypted. Signatures, public keys and
   certificates are no secrets and aren't reported;
-* ssh - base64 of a private key in SSH wire format (a known name and as many length-prefixed fields as private keys have), or of an openssh-key-v1
-  container whose parts fit;
+* ssh - base64 of a private key in SSH wire format (a known name, as many length-prefixed fields as private keys have, a comment or none), or of an
+  openssh-key-v1 container whose parts fit;
 * pem - a BEGIN/END block of a private key whose body is base64 of DER or of an openssh-key-v1 container. Line ends may be escaped (\\n
   in JSON). With a DEK-Info header the body is encrypted: whole blocks of eight bytes. The block may itself be base64.
 
+Long runs are decoded where lengths and names are read, and as a whole only once those fit, so that a run full of beginnings costs its length.
+
 Defined cases: null texts are empty; spans count code points, end exclusive; repeated rows are scanned each; texts of any length
 are scanned whole; an empty table gives an empty result; further columns are ignored by scan() and kept by redacted().
 """
@@ -23,7 +25,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -50,7 +52,11 @@ B64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}(?:(?:\
 BREAK = re.compile(r"(?:\\[rn]|\s)+")
 #: What base64 of a SEQUENCE, of 0x000000, of "openssh" and of "-----BEGIN " begins with; of short SEQUENCES inside a run only with an INTEGER of a byte.
 STARTS = re.compile(r"MI|M[A-P].CAQ|\AM[A-P]|AAAA|b3BlbnNza|LS0tLS1CRUdJTi")
-ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+HEX_STARTS = re.compile(r"30(?:8[1-4]|[2-7][0-9A-Fa-f]0201)|\A30")
+#: No container's cipher and no key has a longer name; no private key has more parts.
+NAME, PARTS = 64, 16
+Read = Callable[[int, int], bytes]
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?:\\[rn]|\s)*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*(?=\\[rn]|[\r\n]))*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
 PIECE = re.compile(r"(?:(?<!\\)|(?<=\\[rn]))[A-Za-z0-9+/_-]+")
@@ -66,8 +72,8 @@ def der_fits(data: bytes, depth: int = 0) -> bool:
     return _der_inside(data, depth)
 
 
-def _der_end(data: bytes, at: int) -> int:
-    """Where the value at `at` ends, or -1."""
+def _der_end(data: bytes, at: int, most: int | None = None) -> int:
+    """Where the value at `at` ends, or -1 if that is beyond the most there is (of data, or of what data is the beginning of)."""
     if at + 2 > len(data) or data[at] & 0x1F == 0x1F:
         return -1
     n = data[at + 1]
@@ -81,7 +87,7 @@ def _der_end(data: bytes, at: int) -> int:
         if size < 0x80 or data[at + 2] == 0:
             return -1  # DER takes the shortest form
         end = at + 2 + k + size
-    return end if end <= len(data) else -1
+    return end if end <= (len(data) if most is None else most) else -1
 
 
 def _der_inside(data: bytes, depth: int) -> bool:
@@ -129,45 +135,92 @@ def der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and len(values[1]) >= 16 and names(values[0], LOCK_OIDS)
 
 
-def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
-    """Fields behind four-byte lengths (count of them, or all to the end) and where they end."""
-    out: list[bytes] = []
-    while len(out) < count if count is not None else at < len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 > len(data) or at + 4 + n > len(data):
+def _of_base64(run: str, at: int, end: int) -> tuple[Read, int]:
+    """Reader and number of the bytes that run encodes from at to end; only the signs around what is asked for are decoded."""
+
+    def read(a: int, b: int) -> bytes:
+        low = a // 3
+        piece = run[at + 4 * low : min(at + 4 * -(-b // 3), end)]
+        return base64.b64decode(piece + "=" * (-len(piece) % 4))[a - 3 * low : b - 3 * low]
+
+    return read, (end - at) * 3 // 4
+
+
+def _of_bytes(data: bytes) -> tuple[Read, int]:
+    return (lambda a, b: data[a:b]), len(data)
+
+
+def _der_shaped(read: Read, size: int) -> bool:
+    """Whether the first `size` bytes are a SEQUENCE of a few values that end with it, with tags that a private key can begin with."""
+    tags: list[int] = []
+    head = read(0, 2)
+    at = 2 if head[1] < 0x80 else 2 + (head[1] & 0x7F)
+    while at < size and len(tags) < PARTS:
+        end = _der_end(read(at, min(at + 6, size)), 0, size - at)
+        if end < 0:
+            return False
+        tags.append(read(at, at + 1)[0])
+        at += end
+    return at == size and (tags[:6] == [0x02] * 6 or tags[:2] == [0x02, 0x04] or tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x04])
+
+
+def _fields(read: Read, size: int, at: int, count: int) -> tuple[list[tuple[int, int]], int] | None:
+    """Where count fields behind four-byte lengths lie, and where they end."""
+    out: list[tuple[int, int]] = []
+    while len(out) < count:
+        n = int.from_bytes(read(at, at + 4), "big")
+        if at + 4 > size or at + 4 + n > size:
             return None
-        out.append(data[at + 4 : at + 4 + n])
+        out.append((at + 4, at + 4 + n))
         at += 4 + n
     return out, at
 
 
-def ssh_container(data: bytes) -> bool:
+def _key_name(read: Read, size: int, at: int) -> str | None:
+    """The name of a key's kind that stands at `at` behind its length, if it is known."""
+    n = int.from_bytes(read(at, at + 4), "big")
+    name = read(at + 4, at + 4 + n).decode("latin-1") if n <= NAME and at + 4 + n <= size else ""
+    return name if name in PRIVATE_FIELDS else None
+
+
+def ssh_container(read: Read, size: int) -> bool:
     """openssh-key-v1: cipher, kdf and its options, as many public keys as said, and one private block that ends the data.
 
     Its size is whole cipher blocks; if nothing is encrypted, it begins with one check number twice.
     """
-    if not data.startswith(MAGIC) or (head := _fields(data, len(MAGIC), 3)) is None:
+    if read(0, len(MAGIC)) != MAGIC or (head := _fields(read, size, len(MAGIC), 3)) is None:
         return False
     (cipher, kdf, options), at = head
-    keys = int.from_bytes(data[at : at + 4], "big")
-    if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or (cipher == b"none") != (kdf == b"none") or (kdf == b"none") != (not options) or not 1 <= keys <= 64:
+    if cipher[1] - cipher[0] > NAME or kdf[1] - kdf[0] > NAME:
+        return False
+    plain = read(*cipher) == b"none"
+    keys = int.from_bytes(read(at, at + 4), "big")
+    if not re.fullmatch(rb"[a-z0-9@.-]+", read(*cipher)) or plain != (read(*kdf) == b"none") or plain != (options[0] == options[1]) or not 1 <= keys <= 64:
         return False
-    rest = _fields(data, at + 4, keys + 1)
-    if rest is None or rest[1] != len(data):
+    rest = _fields(read, size, at + 4, keys + 1)
+    if rest is None or rest[1] != size:
         return False
     *public, private = rest[0]
-    named = all((f := _fields(k, 0)) is not None and f[0] and f[0][0].decode("latin-1") in PRIVATE_FIELDS for k in public)
-    return named and len(private) >= 16 and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
+    length = private[1] - private[0]
+    fits = length >= 16 and length % 8 == 0 and (not plain or read(private[0], private[0] + 4) == read(private[0] + 4, private[0] + 8))
+    return fits and all(_key_name(read, end, start) for start, end in public)
+
+
+def _wire_ends(read: Read, size: int) -> list[int]:
+    """Where a private key in SSH wire format may end: behind its fields, or behind a comment after them."""
+    name = _key_name(read, size, 0)
+    if name is None or (own := _fields(read, size, 0, PRIVATE_FIELDS[name])) is None:
+        return []
+    if name == "ssh-ed25519" and [b - a for a, b in own[0][1:]] != [32, 64]:
+        return []
+    noted = _fields(read, size, own[1], 1)
+    return [own[1], *([noted[1]] if noted else [])]
 
 
 def ssh_key(data: bytes) -> bool:
-    """A private key in SSH wire format (a known name and as many fields as private keys have, to the end), or the OpenSSH container."""
-    if data.startswith(MAGIC):
-        return ssh_container(data)
-    found = _fields(data, 0)
-    if found is None or not found[0] or len(found[0]) < PRIVATE_FIELDS.get(found[0][0].decode("latin-1"), 1 << 30):
-        return False
-    return found[0][0] != b"ssh-ed25519" or [len(x) for x in found[0][1:3]] == [32, 64]
+    """A private key in SSH wire format, or the OpenSSH container."""
+    read, size = _of_bytes(data)
+    return ssh_container(read, size) if data.startswith(MAGIC) else size in _wire_ends(read, size)
 
 
 def _b64(text: str) -> bytes | None:
@@ -196,38 +249,65 @@ def _pem(m: re.Match) -> bool:
     return der_key(raw) or ssh_key(raw) or ("DEK-Info:" in m[2] and len(raw) >= 24 and len(raw) % 8 == 0)
 
 
-def _key_at(run: str, at: int, ends: list[int]) -> tuple[int, str] | None:
+def _der_size(head: bytes) -> int | None:
+    """How many bytes a SEQUENCE says that it has, its head included."""
+    if len(head) < 6 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    return 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
+
+
+def _pem_end(run: str, at: int) -> int | None:
+    """Where a PEM block that is itself base64 ends. It is decoded up to the dashes after its body, which has none itself."""
+    size = 1 << 10
+    while True:
+        piece = run[at : at + size]
+        raw = (_b64(piece[: len(piece) - (len(piece) % 4 == 1)]) or b"").decode("latin-1")
+        dashes = [m.start() for m in re.finditer("-----", raw[: raw.find("-----END ") + 200] if "-----END " in raw else raw)]
+        if len(dashes) >= 4 or at + size >= len(run):
+            block = PEM.match(raw)
+            return at + (block.end() * 4 + 2) // 3 if block and _pem(block) else None
+        if len(dashes) == 3 and not raw.startswith("-----END ", dashes[2]) and len(raw) >= dashes[2] + 9 or len(raw) > 80 and len(dashes) < 2:
+            return None
+        size *= 2
+
+
+def _key_at(run: str, at: int, ends: set[int]) -> tuple[int, str] | None:
     """(end, kind) of the key that begins there in a run of base64 without breaks and padding, or None. DER says itself where it ends; others end with a line."""
+    last = len(run) - ((len(run) - at) % 4 == 1)
     if run[at] == "M":
-        head = _b64(run[at : at + 8])
-        if head is None or len(head) < 6 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        size = _der_size(_b64(run[at : at + 8]) or b"")
+        if size is None or size < 24:
             return None
-        size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
         end = at + (size * 4 + 2) // 3
         whole = end == len(run) or run.startswith("MI", at) or run[at + 3 : at + 6] == "CAQ"
-        if size < 24 or end > len(run) or not whole or (raw := _b64(run[at:end])) is None or not der_key(raw):
+        if end > len(run) or not whole or not _der_shaped(_of_base64(run, at, end)[0], size) or not der_key(_b64(run[at:end]) or b""):
             return None
         return end, "der"
-    if run[at] == "A":
-        head = _b64(run[at : at + 96]) or b""
-        n = int.from_bytes(head[:4], "big")
-        least = PRIVATE_FIELDS.get(head[4 : 4 + n].decode("latin-1"))
-        if least is None:
-            return None
-    own = run[at : len(run) - ((len(run) - at) % 4 == 1)]
-    if (raw := _b64(own)) is None or len(raw) < 24:
-        return None
     if run[at] == "L":
-        block = PEM.match(raw.decode("latin-1"))
-        return (at + (block.end() * 4 + 2) // 3, "pem") if block and _pem(block) else None
+        return None if (end := _pem_end(run, at)) is None else (end, "pem")
+    read, size = _of_base64(run, at, last)
     if run[at] == "b":
-        return (len(run), "ssh") if ssh_key(raw) else None
-    fits, end, fields = set(), 0, 0
-    while end + 4 <= len(raw):
-        end, fields = end + 4 + int.from_bytes(raw[end : end + 4], "big"), fields + 1
-        if fields >= least:
-            fits.add(end)
-    return next(((e, "ssh") for e in reversed(ends) if e > at and (e - at) % 4 != 1 and (size := (e - at) * 3 // 4) in fits and size >= 24 and ssh_key(raw[:size])), None)
+        return (len(run), "ssh") if size >= 24 and ssh_container(read, size) else None
+    for said in sorted(_wire_ends(read, size), reverse=True):
+        least = -(-said * 4 // 3)
+        for n in (least + 1, least):
+            if n * 3 // 4 == said and n % 4 != 1 and said >= 24 and at + n in ends:
+                return at + n, "ssh"
+    return None
+
+
+def _hex_keys(run: str) -> Iterator[tuple[int, int]]:
+    """Where DER keys lie in a run of hex digits."""
+    at = 0
+    while start := HEX_STARTS.search(run, at):
+        a, at = start.start(), start.start() + 1
+        size = _der_size(bytes.fromhex(run[a : a + 12]) if a + 12 <= len(run) else b"")
+        if size is None or a + 2 * size > len(run):
+            continue
+        read = lambda i, j, a=a: bytes.fromhex(run[a + 2 * i : a + 2 * j])
+        if _der_shaped(read, size) and der_key(read(0, size)):
+            at = a + 2 * size
+            yield a, at
 
 
 def _encoded(text: str) -> list[tuple[int, int, str]]:
@@ -241,7 +321,7 @@ def _encoded(text: str) -> list[tuple[int, int, str]]:
             pieces = [(x.start(), x.end()) for x in PIECE.finditer(whole)] if lines else [(0, len(whole))]
             run = "".join(whole[a:b] for a, b in pieces).translate(URL_SAFE)
             place = [i for a, b in pieces for i in range(a, b)] if lines else range(len(whole))
-            ends = list(accumulate(b - a for a, b in pieces))
+            ends = set(accumulate(b - a for a, b in pieces))
             at = 0
             while start := STARTS.search(run, at):
                 at = start.start() + 1
@@ -273,8 +353,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 spans.append((*m.span(), "jwt"))
     spans += _encoded(text)
     for m in ANY_HEX.finditer(text):
-        if m[0].startswith("30") and der_key(bytes.fromhex(m[0])):
-            spans.append((*m.span(), "der"))
+        spans += [(m.start() + a, m.start() + b, "der") for a, b in _hex_keys(m[0])]
     if "-----BEGIN " in text:
         blocks = [m.span() for m in PEM.finditer(text) if _pem(m)]
         inside = {s for s in spans if s[2] in ("der", "ssh", "pem") and any(a <= s[0] and s[1] <= b for a, b in blocks)}

@@ -206,3 +206,23 @@ def test_keys_in_other_encodings():
     # what only looks like it
     assert kinds(wrapped(b64(hashlib.shake_256(b"z").digest(3000)))) == []
     assert kinds("MI" * 20_000 + "AAAA" * 20_000 + "\n" + "AAAAB3NzaC1yc2E" * 500) == []
+
+
+def test_hex_keys_are_found_inside_runs():
+    run = "00ff1" + KEY.hex() + "abcdef"
+    assert [s for s in secrets.find(run) if s[2] == "der"] == [(5, 5 + 2 * len(KEY), "der")]
+    assert not [s for s in secrets.find("00" + KEY.hex()[:-2]) if s[2] == "der"]
+
+
+@pytest.mark.parametrize("unit", ["b3BlbnNzaC1rZXktdjE", "LS0tLS1CRUdJTi", "LS0tLS1CRUdJTiBQUklWQVRFIEtFWS0tLS0t", "AAAAC3NzaC1lZDI1NTE5", "MIIEpAIBAAKCAQEA", "3082ffff"])
+def test_runs_full_of_beginnings_are_read_in_bounded_pieces(unit, monkeypatch):
+    """What is decoded grows with the run, not with its square."""
+    decoded = []
+    real = base64.b64decode
+    monkeypatch.setattr(secrets.base64, "b64decode", lambda text, *a, **k: decoded.append(len(text)) or real(text, *a, **k))
+    text = unit * (20_000 // len(unit))
+    secrets.find(text)
+    assert sum(decoded) <= 80 * len(text)
+    decoded.clear()
+    secrets.find(text * 4)
+    assert sum(decoded) <= 80 * 4 * len(text)
