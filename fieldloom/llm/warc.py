@@ -10,7 +10,8 @@ Writing
 4. The manifest is stored; its files are renamed to their final names (again harmless if a task is repeated), then the manifest goes to
    the archive folder. Files of lost or repeated attempts are in no manifest and go with the temporary folder.
 
-Headers and digests are made anew from the payload: record ids are name-based UUIDs, dates are a parameter.
+Headers and digests are made anew from the payload: record ids are name-based UUIDs, dates are a parameter. A revisit names its response's
+record id, target and date.
 
 The archive folder is any that Spark and pyarrow.fs reach by URI (file, hdfs, s3, gs), shared by all machines.
 
@@ -37,7 +38,6 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import bounded_broadcast
 from fieldloom.llm.sharding import prefix_sums
 from fieldloom.session import materialise, new_path, remove
 
@@ -45,8 +45,8 @@ REVISIT = 100
 ROLL = 256 << 20
 RANGE_BYTES = 256 << 20
 LEAST_RANGES = 24
-#: Digests of repeated payloads that are broadcast; more are joined by shuffling.
-SHARED_BROADCAST = 200_000
+#: Digests of repeated payloads, and bytes of their URLs, that are broadcast; more are joined by shuffling.
+SHARED_BROADCAST, SHARED_BYTES = 200_000, 64 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard bigint, seq int, temp string, name string, records bigint, bytes bigint, sha256 string"
@@ -61,16 +61,22 @@ def _record(kind: str, rid: str, headers: list[tuple[str, str]], block: bytes, d
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit record (HTTP head only) if refers_to is given."""
-    target = urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{page_id}"
+def target_uri(page_id: int | None, url: str | None) -> str:
+    return urllib.parse.quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{page_id}"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+    """A response record, or a revisit record (HTTP head only) of the response of page refers_to with refers_url, if refers_to is given."""
+    target = target_uri(page_id, url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = [("WARC-Target-URI", target), ("WARC-Payload-Digest", "sha256:" + digest), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         headers.append(("X-Page-Id", str(page_id)))
     if refers_to is None:
         return _record("response", record_id("response", page_id, target, digest), headers, http + payload, date)
-    headers += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]
+    first = target_uri(refers_to, refers_url)
+    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", refers_to, first, digest)), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", date)]
+    headers.append(("X-Refers-To-Page-Id", str(refers_to)))
     return _record("revisit", record_id("revisit", page_id, target, digest), headers, http, date)
 
 
@@ -102,13 +108,15 @@ def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def described(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, refers_to (null for responses)."""
+    """page_id, url, payload, payload_bytes, payload_digest, refers_to and refers_url (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload"), F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    shared = base.filter(F.col("payload_bytes") >= REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = bounded_broadcast(materialise(shared, "warc-shared"), SHARED_BROADCAST)  # payloads then aren't shuffled for it
-    refers = F.when((F.col("payload_bytes") >= REVISIT) & (F.col("page_id") > F.col("head")), F.col("head"))
-    return base.join(shared, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
+    shared = base.filter(F.col("payload_bytes") >= REVISIT).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = materialise(shared, "warc-shared")
+    rows, urls = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("head.url")), F.lit(0))).first()
+    shared = F.broadcast(shared) if rows <= SHARED_BROADCAST and urls <= SHARED_BYTES else shared  # payloads then aren't shuffled for it
+    refers = F.when((F.col("payload_bytes") >= REVISIT) & (F.col("page_id") > F.col("head.page_id")), F.col("head"))
+    return base.join(shared, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers["page_id"].alias("refers_to"), refers["url"].alias("refers_url"))
 
 
 def write(pages: DataFrame, folder: str, roll: int = ROLL, range_bytes: int = RANGE_BYTES, date: str = DATE) -> DataFrame:
@@ -138,17 +146,17 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL, range_bytes: int = RA
         done: list[tuple] = []
         for b in batches:
             for i in range(b.num_rows):
-                shard, page_id, url, payload, digest, refers = (b.column(k)[i].as_py() for k in range(6))
+                shard, *page = (b.column(k)[i].as_py() for k in range(7))
                 if file and (file.shard != shard or file.bytes >= roll):
                     done.append(file.close())
                     file = _File(fs, path, shard, file.seq + 1 if file.shard == shard else 0, date)
                 file = file or _File(fs, path, shard, 0, date)
-                file.add(page_record(page_id, url, payload, digest, refers, date))
+                file.add(page_record(*page, date))
         if file:
             done.append(file.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["shard", "seq", "temp", "name", "records", "bytes", "sha256"])
 
-    rows = described(pages).withColumn("shard", shard_of("page_id")).select("shard", "page_id", "url", "payload", "payload_digest", "refers_to")
+    rows = described(pages).withColumn("shard", shard_of("page_id")).select("shard", "page_id", "url", "payload", "payload_digest", "refers_to", "refers_url")
     keys = ["shard", F.col("page_id").asc_nulls_first(), "payload_digest", F.col("url").asc_nulls_first()]
     written = materialise(rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions(*keys).mapInArrow(save, MANIFEST), "warc-manifest")
 

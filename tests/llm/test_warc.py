@@ -90,3 +90,19 @@ def test_damage_is_found(spark, pages):
         assert "damaged" in str(e)
     else:
         raise AssertionError("a changed record was read")
+
+
+def test_revisits_name_the_record_they_revisit(spark):
+    folder = new_path(spark, "warc")
+    warc.write(spark.createDataFrame([(*r, "p", "s") for r in EDGE], SCHEMA), folder)
+    heads = []
+    for raw in files(folder).values():
+        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as stream:
+            heads += [h for h, _ in warc.records(stream)]
+    responses = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 3
+    for h in revisits:
+        first = responses[h["warc-refers-to"]]
+        assert first["x-page-id"] == h["x-refers-to-page-id"] and first["warc-payload-digest"] == h["warc-payload-digest"]
+        assert (first["warc-target-uri"], first["warc-date"]) == (h["warc-refers-to-target-uri"], h["warc-refers-to-date"])
