@@ -54,8 +54,8 @@ def wind_components(heading: Column, wind_from: Column, speed: Column) -> Column
 
 
 def runway_heading(end: Column) -> Column:
-    """Degrees of a runway end like 06 or 24L; null unless 1 to 36."""
-    n = F.regexp_extract(F.trim(end), r"^(\d{1,2})[LRC]?$", 1).try_cast("int")
+    """Degrees of a runway end by its one or two leading digits, whatever follows (06, 24L, 18W); null unless 1 to 36."""
+    n = F.regexp_extract(F.trim(end), r"^([0-9]{1,2})", 1).try_cast("int")
     return F.when(n.between(1, 36), n * 10)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,3 +178,33 @@ def client_errors(df: DataFrame, raw: str) -> DataFrame:
     out = out.filter(F.col("message").isNotNull() & F.col("url").startswith("/"))
     kind = F.when(json_text(F.col("_doc"), "$.kind") == "unhandledrejection", "unhandledrejection").otherwise("error")
     return out.select(*[c for c in df.columns if c != raw], kind.alias("kind"), "message", "url", some("$.source", 256).alias("source"), some("$.stack", 4000).alias("stack"), whole("$.lineno").alias("lineno"), whole("$.colno").alias("colno"))
+
+
+#: Letters that no decomposition turns into plain ones.
+PLAIN = (("Ð", "D"), ("ð", "d"), ("Þ", "TH"), ("þ", "th"), ("Æ", "AE"), ("æ", "ae"), ("Ø", "O"), ("ø", "o"), ("Å", "A"), ("å", "a"))
+
+
+def folded(text: Column) -> Column:
+    """Upper case without accents, for comparing a name with its transliteration; null stays null."""
+
+    @F.pandas_udf("string")
+    def bare(text: pd.Series) -> pd.Series:
+        """Compatibility decomposition without combining marks. Spark has no function for it, so batches go through Arrow."""
+        return text.str.normalize("NFKD").map(lambda t: "".join(c for c in t if not unicodedata.combining(c)), na_action="ignore")
+
+    for sign, plain in PLAIN:
+        text = F.replace(text, F.lit(sign), F.lit(plain))
+    return F.trim(F.upper(bare(text)))
+
+
+def dsn(url: Column) -> Column:
+    """struct<host, project, key, ingest> of https://<key>[:secret]@<host>/<project>; null unless all three are there.
+
+    The project is the last part of the path; the host is in lower case, without the scheme's own port.
+    """
+    shape = r"^(?i)(https?)://([^:@/?#\s]+)(?::[^@/?#\s]*)?@([^@/?#\s]+)((?:/[^/?#\s]*)*?)/([^/?#\s]+)/*(?:[?#].*)?$"
+    scheme, host = F.lower(F.regexp_extract(url, shape, 1)), F.lower(F.regexp_extract(url, shape, 3))
+    bare = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(F.regexp_replace(host, ":80$", ""))
+    key, project = F.regexp_extract(url, shape, 2), F.regexp_extract(url, shape, 5)
+    ingest = F.concat(scheme, F.lit("://"), bare, F.lit("/api/"), project, F.lit("/envelope/?sentry_key="), key, F.lit("&sentry_version=7"))
+    return F.when(F.coalesce(url.rlike(shape), F.lit(False)), F.struct(bare.alias("host"), project.alias("project"), key.alias("key"), ingest.alias("ingest")))

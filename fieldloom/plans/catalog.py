@@ -545,7 +545,8 @@ def m03_wind(s: SparkSession, d: str) -> DataFrame:
           ['N','NE','E','SE','S','SW','W','NW'][1 + CAST(floor((p_partkey % 360) / 45.0 + 0.5) AS BIGINT) % 8] AS point FROM part""")
 def m07_roundings(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    end = F.concat(F.lpad((k % 40).cast("string"), 2, "0"), F.when(k % 2 == 0, "L").otherwise(""))
+    suffix = F.when(k % 4 == 0, "L").when(k % 4 == 1, "W").when(k % 4 == 2, "5").otherwise("")
+    end = F.concat(F.when(k % 3 == 0, " ").otherwise(""), F.lpad((k % 40).cast("string"), 2, "0"), suffix)
     return table(s, d, "part").select("p_partkey", measures.feet(F.col("p_size")).alias("ft"), measures.round_up_half((F.col("p_size") - 25) / 2.0).alias("js"), measures.runway_heading(end).cast("int").alias("heading"), measures.compass_point(k % 360).alias("point"))
 
 

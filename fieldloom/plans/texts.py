@@ -168,3 +168,32 @@ def t06_retained(s: SparkSession, d: str) -> DataFrame:
     from fieldloom.operators import upsert
 
     return upsert.retain(events(s, d), "t", F.lit(1_704_067_200 + 3600)).select("event_id")
+
+
+_NAMES = "CASE c_custkey % 7 WHEN 0 THEN ' búðardalur ' WHEN 1 THEN 'Ærø Þórshöfn ' WHEN 2 THEN 'Grundarfjörður ' WHEN 3 THEN 'Zürich Ñandú ' WHEN 4 THEN 'Åre Łódź ' WHEN 5 THEN '' END || c_name"
+
+
+@query(
+    f"""SELECT c_custkey, trim(upper(strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({_NAMES}, 'Ð', 'D'), 'ð', 'd'), 'Þ', 'TH'), 'þ', 'th'), 'Æ', 'AE'), 'æ', 'ae'), 'Ø', 'O'), 'ø', 'o'), 'Å', 'A'), 'å', 'a')))) AS name
+        FROM customer"""
+)
+def p18_folded(s: SparkSession, d: str) -> DataFrame:
+    """Names with letters of several languages, folded."""
+    return table(s, d, "customer").select("c_custkey", text.folded(F.expr(_NAMES)).alias("name"))
+
+
+_DSN = """CASE o_orderkey % 8 WHEN 0 THEN 'https://k' WHEN 1 THEN 'http://k' WHEN 2 THEN 'HTTPS://K' WHEN 3 THEN 'ftp://k' WHEN 4 THEN 'https://' ELSE 'https://k' END || CASE o_orderkey % 11 WHEN 0 THEN '' ELSE CAST(o_custkey AS STRING) END
+  || CASE o_orderkey % 3 WHEN 0 THEN ':secret@' ELSE '@' END || CASE o_orderkey % 5 WHEN 0 THEN 'O1.Example.ORG' WHEN 1 THEN 'o1.example.org:443' WHEN 2 THEN 'o1.example.org:80' WHEN 3 THEN 'o1.example.org:9000' ELSE 'h' END
+  || CASE o_orderkey % 7 WHEN 0 THEN '/' WHEN 1 THEN '' WHEN 2 THEN '/a/b/' || CAST(o_orderkey AS STRING) WHEN 3 THEN '/' || CAST(o_orderkey AS STRING) || '//' ELSE '/' || CAST(o_orderkey AS STRING) END || CASE o_orderkey % 13 WHEN 0 THEN '?x=/9' ELSE '' END"""
+
+
+@query(
+    rf"""WITH u AS (SELECT o_orderkey AS k, {_DSN} AS u FROM orders), a AS (SELECT k, lower(split_part(u, '://', 1)) AS scheme, regexp_replace(substr(u, strpos(u, '://') + 3), '[?#].*$', '') AS rest FROM u),
+      b AS (SELECT k, scheme, split_part(split_part(split_part(rest, '/', 1), '@', 1), ':', 1) AS key, regexp_replace(lower(split_part(split_part(rest, '/', 1), '@', 2)), CASE scheme WHEN 'https' THEN ':443$' ELSE ':80$' END, '') AS host,
+        list_filter(string_split(rest, '/')[2:], lambda x: x <> '')[-1] AS project FROM a)
+      SELECT k, host, project, key, scheme || '://' || host || '/api/' || project || '/envelope/?sentry_key=' || key || '&sentry_version=7' AS ingest FROM b WHERE scheme IN ('http', 'https') AND key <> '' AND host <> '' AND project <> ''"""
+)
+def p29_dsn(s: SparkSession, d: str) -> DataFrame:
+    """Addresses of an error tracker, some without key, project or a known scheme."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), text.dsn(F.expr(_DSN)).alias("x"))
+    return o.filter("x is not null").select("k", "x.*")
