@@ -87,20 +87,21 @@ def surface_class(surface: Column) -> Column:
     return F.coalesce(*[F.when(s.rlike(words), F.lit(name)) for name, words in SURFACE_WORDS], F.lit("other"))
 
 
-def general(value: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-4)))).cast("int"))
+def general(value: Column, most: int = 6) -> Column:
+    """Six (or `most`) significant digits without trailing zeros."""
+    digits = F.greatest(F.lit(0), F.lit(most - 1) - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-4)))).cast("int"))
     text = F.format_string("%.12f", F.expr("0.0") + F.when(digits >= 0, F.round(value * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)))
     return F.regexp_replace(text, r"\.?0+$", "")
 
 
-def formatted(value: Column, unit: Column) -> Column:
-    """Bytes in steps of 1024 up to TB with one digit; percentages, seconds and other numbers in general form with their unit; - for none."""
-    steps = F.lit(None).cast("string")
-    for i, name in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
+def formatted(value: Column, unit: Column, largest: str = "TB", digits: int = 6) -> Column:
+    """Bytes in steps of 1024 up to TB (or `largest`) with one digit; percentages, seconds and other numbers in general form with their unit; - for none."""
+    steps, names = F.lit(None).cast("string"), ("B", "KB", "MB", "GB", "TB")
+    for i, name in reversed(list(enumerate(names[: names.index(largest) + 1]))):
         text = F.format_string(f"%.1f {name}", F.bround(value / float(1024**i), 1))  # ties to even digits
-        steps = text if name == "TB" else F.when(value < float(1024 ** (i + 1)), text).otherwise(steps)
-    other = F.when(unit == "pct", F.concat(general(value), F.lit(" %"))).when(F.coalesce(unit, F.lit("")) == "", general(value)).otherwise(F.concat(general(value), F.lit(" "), unit))
+        steps = text if name == largest else F.when(value < float(1024 ** (i + 1)), text).otherwise(steps)
+    number = general(value, digits)
+    other = F.when(unit == "pct", F.concat(number, F.lit(" %"))).when(F.coalesce(unit, F.lit("")) == "", number).otherwise(F.concat(number, F.lit(" "), unit))
     return F.when(value.isNull(), "-").when(unit == "bytes", steps).otherwise(other)
 
 
