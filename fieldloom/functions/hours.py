@@ -84,17 +84,20 @@ def _day_text(d: Column) -> Column:
 
 def hours_text(hours: Column) -> Column:
     """Runs of equal neighbouring days: Mon-Fri 08:00-20:00; Sat SR-SS. Closed and unknown days are left out; null if none is left."""
-    texts = F.transform(hours, _day_text)
     names = F.array(*[F.lit(d) for d in DAYS])
-    begins = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == 0) | ~F.get(texts, i).eqNullSafe(F.get(texts, (i - 1).cast("int"))))
 
-    def run(i: Column) -> Column:
-        later = F.filter(begins, lambda j: j > i)
-        end = F.coalesce(F.array_min(later), F.lit(7)) - 1
-        days = F.when(end == i, F.get(names, i)).otherwise(F.concat(F.get(names, i), F.lit("-"), F.get(names, end.cast("int"))))
-        return F.concat(days, F.lit(" "), F.get(texts, i))
+    def shown(texts: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: (i == 0) | ~F.get(texts, i).eqNullSafe(F.get(texts, (i - 1).cast("int"))))
+        return let(begins, lambda own: F.transform(F.filter(own, lambda i: F.get(texts, i).isNotNull()), lambda i: run(texts, own, i)))
 
-    return F.nullif(F.array_join(F.transform(F.filter(begins, lambda i: F.get(texts, i).isNotNull()), run), "; "), F.lit(""))
+    def run(texts: Column, begins: Column, i: Column) -> Column:
+        def named(end: Column) -> Column:
+            days = F.when(end == i, F.get(names, i)).otherwise(F.concat(F.get(names, i), F.lit("-"), F.get(names, end)))
+            return F.concat(days, F.lit(" "), F.get(texts, i))
+
+        return let((F.coalesce(F.array_min(F.filter(begins, lambda j: j > i)), F.lit(7)) - 1).cast("int"), named)
+
+    return F.nullif(F.array_join(let(F.transform(hours, _day_text), shown), "; "), F.lit(""))
 
 
 def plausible(hours: Column) -> Column:

@@ -1,8 +1,10 @@
 """Queries on keys and row counts beyond those of the test tables, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 from test_catalog import plain
 
+from fieldloom.functions import hours
 from fieldloom.plans import catalog
 
 
@@ -24,3 +26,8 @@ def same(spark, tmp_path, name, **tables):
 def test_formatted_of_large_users(spark, tmp_path):
     users = spark.range(20).selectExpr("id AS event_id", "CAST(CASE WHEN id < 10 THEN 4090 + id ELSE 1234560 + id END AS BIGINT) AS user_id")
     assert same(spark, tmp_path, "p24_formatted", events=users)
+
+
+def test_hours_display_reads_a_day_once(spark):
+    """Each day's text is computed once, however often its runs name it: before, it stood in the expression some hundred times."""
+    assert str(hours.hours_text(F.col("week"))).count("by NOTAM") == 1
