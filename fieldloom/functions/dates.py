@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.common import let
+
 #: Fixed value: the first day of a publication cycle, and its length.
 CYCLE_ANCHOR, CYCLE_DAYS = "2026-07-09", 28
 
@@ -61,8 +63,9 @@ def dst_active(zone: Column, ts: Column) -> Column:
 def clock_minutes(text: Column, colon: bool = True) -> Column:
     """Minutes of the HH:MM that text begins with (hours up to 24), null without one; without colon HHMM is read as well."""
     p = r"^(\d{2})" + (":" if colon else ":?") + r"(\d{2})"
-    hour, minute = (F.nullif(F.regexp_extract(F.trim(text), p, i), F.lit("")).cast("int") for i in (1, 2))
-    return F.when((hour <= 24) & (minute <= 59), hour * 60 + minute)
+    part = lambda t, i: F.nullif(F.regexp_extract(t, p, i), F.lit("")).cast("int")
+    whole = lambda h, m: F.when((h <= 24) & (m <= 59), h * 60 + m)
+    return let(F.trim(text), lambda t: let(part(t, 1), lambda h: let(part(t, 2), lambda m: whole(h, m))))
 
 
 def clock_of(minutes: Column) -> Column:

@@ -30,11 +30,15 @@ def day(kind: str, open_: Column | None = None, close: Column | None = None) ->
 
 def _window(open_: Column, close: Column) -> Column:
     """A window whose bounds are both known, else unknown."""
-    return F.when(open_.isNotNull() & close.isNotNull(), day("window", open_, close)).otherwise(day("unknown"))
+    return let(open_, lambda a: let(close, lambda b: F.when(a.isNotNull() & b.isNotNull(), day("window", a, b)).otherwise(day("unknown"))))
 
 
 def _bound(solar: Column, minutes: Column) -> Column:
     """A solar bound (sr, ss) if there is one, else a time, else null."""
+    return let(solar, lambda sun: let(minutes, lambda m: _bound_of(sun, m)))
+
+
+def _bound_of(solar: Column, minutes: Column) -> Column:
     own = F.struct(F.coalesce(solar, F.lit("time")).alias("t"), F.when(solar.isNull(), minutes).cast("int").alias("m"))
     return F.when(solar.isNotNull() | minutes.isNotNull(), own)
 
@@ -66,9 +70,12 @@ def _day_index(name: Column) -> Column:
 
 def _statement(segment: Column) -> Column:
     """struct(days, day) of a segment; day is null if it says nothing."""
-    a, b = (F.regexp_extract(segment, DAYS, i) for i in (1, 2))
-    first = _day_index(a)
-    days = F.when(segment.rlike("DAILY|DLY") | (a == ""), F.sequence(F.lit(0), F.lit(6))).otherwise(_span(first, F.when(b == "", first).otherwise(_day_index(b))))
+
+    def named(a: Column, b: Column) -> Column:
+        spans = let(_day_index(a), lambda first: let(F.when(b == "", first).otherwise(_day_index(b)), lambda last: _span(first, last)))
+        return F.when(segment.rlike("DAILY|DLY") | (a == ""), F.sequence(F.lit(0), F.lit(6))).otherwise(spans)
+
+    days = let(F.regexp_extract(segment, DAYS, 1), lambda a: let(F.regexp_extract(segment, DAYS, 2), lambda b: named(a, b)))
 
     def side(i: int) -> Column:
         return let(F.regexp_extract(segment, WINDOW, i), lambda token: _bound(F.when(token.isin("SR", "SS"), F.lower(token)), clock_minutes(token, colon=False)))
@@ -111,7 +118,7 @@ def page_week(page: Column) -> Column:
 
 
 def _is_true(doc: Column, path: str) -> Column:
-    return F.coalesce((F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "BOOLEAN") & F.try_variant_get(doc, path, "boolean"), F.lit(False))
+    return let(F.try_variant_get(doc, path, "variant"), lambda v: F.coalesce((F.schema_of_variant(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), F.lit(False)))
 
 
 def document_week(json: Column, colon: bool = True) -> Column:
@@ -123,11 +130,10 @@ def document_week(json: Column, colon: bool = True) -> Column:
     entries = F.try_variant_get(F.try_parse_json(json), "$.operatingHours", "array<variant>")
 
     def statement(e: Column) -> Column:
-        n = json_number(e, "$.dayOfWeek")
-        side = lambda sun, flag, time: _bound(F.when(_is_true(e, flag), sun), clock_minutes(json_text(e, time), colon))
+        side = lambda sun, flag, time: _bound(F.when(_is_true(e, flag), sun), let(json_text(e, time), lambda t: clock_minutes(t, colon)))
         own = _window(side("sr", "$.sunrise", "$.startTime"), side("ss", "$.sunset", "$.endTime"))
-        days = F.when((n == F.floor(n)) & n.between(0, 6), F.array(n.cast("int")))
-        return F.struct(days.alias("days"), F.when(_is_true(e, "$.byNotam"), day("notam")).otherwise(own).alias("day"))
+        days = let(json_number(e, "$.dayOfWeek"), lambda n: F.when((n == F.floor(n)) & n.between(0, 6), F.array(n.cast("int"))))
+        return let(days, lambda d: F.struct(d.alias("days"), F.when(d.isNotNull(), F.when(_is_true(e, "$.byNotam"), day("notam")).otherwise(own)).alias("day")))
 
     return _week(F.filter(F.transform(entries, statement), lambda s: s["days"].isNotNull()))
 
@@ -135,7 +141,7 @@ def document_week(json: Column, colon: bool = True) -> Column:
 def _selected(selector: Column) -> Column:
     """Days of Mo-Fr,Su; null if a part isn't a day or a range of days."""
     index = lambda name: (F.instr(F.lit(SHORT.replace("|", "")), name) - 1) / 2
-    span = lambda p: _span(index(F.substring(p, 1, 2)).cast("int"), index(F.substring(p, -2, 2)).cast("int"))
+    span = lambda p: let(index(F.substring(p, 1, 2)).cast("int"), lambda a: let(index(F.substring(p, -2, 2)).cast("int"), lambda b: _span(a, b)))
     known = lambda ps: F.when(F.forall(ps, lambda p: p.rlike(f"^({SHORT})(-({SHORT}))?$")) & (F.size(ps) > 0), ps)
     parts = F.filter(F.transform(F.split(F.lower(selector), ","), lambda x: F.trim(x)), lambda p: p != "")
     return F.flatten(F.transform(let(parts, known), span))
@@ -155,9 +161,10 @@ def notation_week(text: Column, lon: Column) -> Column:
         return let(token, bound)
 
     def bound(token: Column) -> Column:
-        low = F.lower(token)
-        m = F.when(token.rlike(r"^\d{1,2}:\d{2}$"), clock_minutes(F.lpad(token, 5, "0"))) - shift
-        return _bound(F.when(low.isin("sunrise", "dawn"), "sr").when(low.isin("sunset", "dusk"), "ss"), F.when(m.between(0, 1440), m))
+        return let(F.lower(token), lambda low: let(minutes(token), lambda m: _bound(F.when(low.isin("sunrise", "dawn"), "sr").when(low.isin("sunset", "dusk"), "ss"), F.when(m.between(0, 1440), m))))
+
+    def minutes(token: Column) -> Column:
+        return F.when(token.rlike(r"^\d{1,2}:\d{2}$"), clock_minutes(F.lpad(token, 5, "0"))) - shift
 
     def statement(rule: Column) -> Column:
         named = rule.rlike(lead)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.common import let
+
 #: How editions are named in links, and in which groups their year, month and day stand; the first that gives a real day wins.
 EDITION_PATTERNS = (
     (r"(?i)(\d{4})-(\d{2})-(\d{2})-(?:NON-)?AIRAC", "ymd"),
@@ -141,15 +143,14 @@ def first_known(arrays: list[Column]) -> Column:
 
 def json_text(doc: Column, path: str, most: int | None = None) -> Column:
     """A string field of parsed JSON (not a number's text), cut to `most` characters; null for any other type."""
-    v = F.try_variant_get(doc, path, "variant")
-    own = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(doc, path, "string"))
+    own = let(F.try_variant_get(doc, path, "variant"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
     return F.substring(own, 1, most) if most else own
 
 
 def json_number(doc: Column, path: str) -> Column:
     """A numeric field of parsed JSON; null for any other type."""
-    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(doc, path, "double"))
+    number = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    return let(F.try_variant_get(doc, path, "variant"), lambda v: F.when(number(v), F.try_variant_get(v, "$", "double")))
 
 
 #: What a beacon may report, and from where on a value is absurd.

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 from test_catalog import plain
 
-from fieldloom.functions import hours
+from fieldloom.functions import hours, schedules
 from fieldloom.plans import catalog
 
 
@@ -31,3 +31,10 @@ def test_formatted_of_large_users(spark, tmp_path):
 def test_hours_display_reads_a_day_once(spark):
     """Each day's text is computed once, however often its runs name it: before, it stood in the expression some hundred times."""
     assert str(hours.hours_text(F.col("week"))).count("by NOTAM") == 1
+
+
+def test_weeks_read_fields_once(spark):
+    """Fields and times are named once by the readers of hours; before, each stood in the expression several times and was read as often."""
+    json, notation = str(schedules.document_week(F.col("j"))), str(schedules.notation_week(F.col("t"), F.col("lon")))
+    assert json.count("$.startTime") == 1 and json.count("$.dayOfWeek") == 1
+    assert notation.count("sunrise, dawn") + notation.count("IN (sunrise") <= 2
