@@ -37,7 +37,7 @@ PHONE = r"(?i)(?<![A-Za-z0-9_])TEL(?:EFON)?\s*[:.]?\s*(\+?\(?\d[\d\s()/.-]{5,}\d
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _untitled(body: Column, title: Column) -> Column:
@@ -54,13 +54,17 @@ def sections(df: DataFrame, text: str, lang: str = "en") -> DataFrame:
     Marks are found once in a text: bodies are what lies between them.
     """
     rest = [c for c in df.columns if c != text]
-    parts = F.transform(F.split(text, MARK), lambda b, i: F.struct(F.get("_codes", i - 1).alias("code"), _trimmed(b).alias("body"), i.alias("i")))
-    marked = df.withColumn("_codes", F.regexp_extract_all(text, F.lit(MARK), F.lit(1))).filter(F.size("_codes") > 0).select(*rest, "_codes", F.explode(parts).alias("p"))
+
+    def parts(codes: Column) -> Column:
+        part = lambda b, i: F.struct(F.get(codes, i - 1).alias("code"), _trimmed(b).alias("body"), i.alias("i"), (F.size(codes) > i).alias("more"))
+        return F.when(F.size(codes) > 0, F.transform(F.split(text, MARK), part))
+
+    marked = df.select(*rest, F.explode(let(F.regexp_extract_all(text, F.lit(MARK), F.lit(1)), parts)).alias("p"))
     rows = marked.filter((F.col("p.i") > 0) | (F.regexp_count("p.body", F.lit(PROSE)) >= 2))
     number = F.when(~F.col("p.code").startswith("0"), F.col("p.code").cast("int"))
     title = F.coalesce(F.get(F.array(*[F.lit(t) for t in TITLES[lang]]), number - 1), F.lit(OTHER[lang]))
     code = F.when(F.col("p.i") > 0, F.concat(F.lit("2."), F.col("p.code")))
-    out = rows.select(*rest, F.col("p.i").alias("nth"), code.alias("code"), title.alias("title"), F.col("p.body").alias("body"), (F.size("_codes") > F.col("p.i")).alias("_more"))
+    out = rows.select(*rest, F.col("p.i").alias("nth"), code.alias("code"), title.alias("title"), F.col("p.body").alias("body"), F.col("p.more").alias("_more"))
     body = F.when(F.col("nth") > 0, _untitled(F.col("body"), F.col("title"))).otherwise(F.col("body"))
     return out.select(*rest, "nth", "code", "title", body.alias("body"), F.coalesce(F.col("code").isin(*REDUNDANT) & F.col("_more"), F.lit(False)).alias("redundant"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import sections
+from fieldloom.functions.common import known, let
 from fieldloom.plans.registry import query
 from fieldloom.session import table
 
@@ -21,9 +22,9 @@ _UNTITLED = r"trim(regexp_replace({body}, '(?i)^' || replace({title}, ' ', '\s+'
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9.]+"), F.lit(0))
+    words = let(F.regexp_extract_all("text", F.lit("[A-Za-z0-9.]+"), F.lit(0)), lambda ws: F.when(F.size(ws) > 0, ws))
     pieces = "transform(IF(size(ws) > 0, sequence(0, cast(ceil(size(ws) / 40) as int) - 1), array()), i -> concat(array_join(slice(ws, i * 40 + 1, 40), ' '), ' ', " + f"{_MARK} || {_ECHO} || {_ITEMS}))"
-    return table(s, d, "documents").filter("text is not null").select("doc_id", words.alias("ws")).filter("size(ws) > 0").select("doc_id", F.array_join(F.expr(pieces), " ").alias("t"))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", known(words).alias("ws")).select("doc_id", F.array_join(F.expr(pieces), " ").alias("t"))
 
 
 @query(
@@ -47,9 +48,10 @@ def p12_sections(s: SparkSession, d: str) -> DataFrame:
 )
 def p13_items(s: SparkSession, d: str) -> DataFrame:
     """Numbered items of the same texts, told by their number and digest."""
-    x = _texts(s, d).select("doc_id", sections.items(F.col("t")).alias("x"))
+    some = let(sections.items(F.col("t")), lambda x: F.when(F.size(x) > 0, x))
+    x = _texts(s, d).select("doc_id", known(some).alias("x"))
     longest = F.array_max(F.transform("x", F.length)).cast("long")
-    return x.filter("size(x) > 0").select("doc_id", F.size("x").cast("long").alias("n"), longest.alias("longest"), F.md5(F.array_join(F.array_sort("x"), "|").cast("binary")).alias("items"))
+    return x.select("doc_id", F.size("x").cast("long").alias("n"), longest.alias("longest"), F.md5(F.array_join(F.array_sort("x"), "|").cast("binary")).alias("items"))
 
 
 @query(

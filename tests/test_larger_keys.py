@@ -38,3 +38,10 @@ def test_weeks_read_fields_once(spark):
     json, notation = str(schedules.document_week(F.col("j"))), str(schedules.notation_week(F.col("t"), F.col("lon")))
     assert json.count("$.startTime") == 1 and json.count("$.dayOfWeek") == 1
     assert notation.count("sunrise, dawn") + notation.count("IN (sunrise") <= 2
+
+
+def test_texts_are_cut_once(spark):
+    """No filter that Spark has moved below computes words again."""
+    for name in ("p12_sections", "p13_items"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(text") == 1, name
