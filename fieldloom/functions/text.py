@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.common import let
+from fieldloom.functions.common import known, let
 
 #: How editions are named in links, and in which groups their year, month and day stand; the first that gives a real day wins.
 EDITION_PATTERNS = (
@@ -173,12 +173,20 @@ def beacons(df: DataFrame, raw: str) -> DataFrame:
 
 def client_errors(df: DataFrame, raw: str) -> DataFrame:
     """Error beacons: bounded texts, whole numbers from 0 on; rows without a message or a path of the own site drop out."""
-    some = lambda path, most: F.nullif(json_text(F.col("_doc"), path, most), F.lit(""))
-    whole = lambda path: F.when(json_number(F.col("_doc"), path) >= 0, F.floor(json_number(F.col("_doc"), path)))
-    out = df.withColumn("_doc", F.try_parse_json(raw)).withColumn("message", some("$.message", 500)).withColumn("url", some("$.url", 256))
-    out = out.filter(F.col("message").isNotNull() & F.col("url").startswith("/"))
-    kind = F.when(json_text(F.col("_doc"), "$.kind") == "unhandledrejection", "unhandledrejection").otherwise("error")
-    return out.select(*[c for c in df.columns if c != raw], kind.alias("kind"), "message", "url", some("$.source", 256).alias("source"), some("$.stack", 4000).alias("stack"), whole("$.lineno").alias("lineno"), whole("$.colno").alias("colno"))
+
+    def read(doc: Column) -> Column:
+        some = lambda path, most: F.nullif(json_text(doc, path, most), F.lit(""))
+        whole = lambda path: let(json_number(doc, path), lambda n: F.when(n >= 0, F.floor(n)))
+        kind = F.when(json_text(doc, "$.kind") == "unhandledrejection", "unhandledrejection").otherwise("error")
+
+        def row(own: Column) -> Column:
+            rest = [some("$.source", 256).alias("source"), some("$.stack", 4000).alias("stack"), whole("$.lineno").alias("lineno"), whole("$.colno").alias("colno")]
+            return F.when(own["message"].isNotNull() & own["url"].startswith("/"), F.struct(kind.alias("kind"), own["message"].alias("message"), own["url"].alias("url"), *rest))
+
+        return let(F.struct(some("$.message", 500).alias("message"), some("$.url", 256).alias("url")), row)
+
+    rest = [c for c in df.columns if c != raw]
+    return df.select(*rest, known(let(F.try_parse_json(raw), read)).alias("_x")).select(*rest, "_x.*")
 
 
 #: Letters that no decomposition turns into plain ones.
