@@ -264,5 +264,5 @@ DISTANCES = f"""CASE WHEN {K} % 17 > 0 THEN CASE {K} % 3 WHEN 0 THEN '01 1 2 3 4
 )
 def p08_declared_distances(s: SparkSession, d: str) -> DataFrame:
     """Rows of a table among marks, units, remarks and numbers of its head; a row takes its five tokens away from the next."""
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), distances.declared(F.expr(DISTANCES.format(**SPARK))).alias("d"))
-    return o.select("k", F.explode("d").alias("x")).select("k", "x.*")
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.explode(distances.declared(F.expr(DISTANCES.format(**SPARK)))).alias("x"))  # of a column, Spark would filter on its size as well
+    return o.select("k", "x.*")
