@@ -11,7 +11,7 @@ encoding is its shortest path in the tropical semiring (weights add along a path
   merges' own result, and each prefix has one finite path, so a state per position suffices.
 
 No piece has the escaped space after another character, so shortest paths never cross the start of an escaped space and
-the composition is done word by word; equal words are composed once for a worker (a bounded cache).
+the composition is done word by word; equal words are composed once for a worker (a bounded cache, kept from query to query).
 
 Files are read from a path (a parameter) on the driver and shipped as a table of pieces: at most `MOST` of them.
 
@@ -21,6 +21,7 @@ each; an empty table gives an empty result; further columns are ignored. Decodin
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,7 +32,9 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST = 1_000_000
-CACHED = 400_000
+#: Words and pairs of pieces that a worker keeps: about 40 MB each.
+CACHED = 200_000
+AGREED = 400_000
 LONG = 48
 SPACE = "▁"
 INF = float("inf")
@@ -144,8 +147,9 @@ class Transducer:
                 before, left = rank[left], l[1]
             else:
                 before, right = rank[right] + 1, r[0]
-        if len(self.agree) < 4 * MOST:
-            self.agree[key] = ok
+        if len(self.agree) >= AGREED:
+            self.agree.clear()
+        self.agree[key] = ok
         return ok
 
     def _fallback(self, c: str) -> list[int]:
@@ -260,18 +264,27 @@ class Transducer:
         return text[1:] if m.prefix and text.startswith(" ") else text
 
 
-_workers: dict[int, Transducer] = {}
+_workers: dict[str, Transducer] = {}
+
+
+def of_worker(name: str, shipped: object) -> Transducer:
+    """A worker's transducer, with its cache: one at a time, for all queries that ship the same model."""
+    if name not in _workers:
+        _workers.clear()  # workers outlive queries: what an earlier model filled goes
+        _workers[name] = shipped.value
+    return _workers[name]
 
 
 def encoded(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, the columns `keep`, ids (array<int>), n_ids, round_trip (whether decoding gives the text back)."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(Transducer(Model.load(path)))  # at most MOST pieces
-    name = hash((path, id(shipped)))
+    with open(path, "rb") as f:
+        name = hashlib.sha256(f.read()).hexdigest()
     own_ddl = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate((key, *keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _workers.setdefault(name, shipped.value)  # one for a worker, with its cache
+        t = of_worker(name, shipped)
         for b in batches:
             ids: list[np.ndarray | None] = []
             same: list[bool | None] = []

@@ -54,3 +54,28 @@ def test_unigram_paths_are_the_lightest():
     for s in ("a", "abab", "ababab", "bbaabba", "abbbba"):
         assert sum(m.scores[i] for i in t.path(s)) == pytest.approx(best(s))
         assert "".join(m.pieces[i] for i in t.path(s)) == s
+
+
+def test_a_worker_keeps_one_transducer():
+    """Workers outlive queries: the same model is not loaded twice, another one takes its place."""
+
+    class Shipped:
+        value = property(lambda self: object())
+
+    first = pieces.of_worker("a", Shipped())
+    assert pieces.of_worker("a", Shipped()) is first
+    other = pieces.of_worker("b", Shipped())
+    assert other is not first and list(pieces._workers.values()) == [other]
+    pieces._workers.clear()
+
+
+def test_ids_do_not_depend_on_the_caches_room(docs, monkeypatch):
+    texts = [r.text[:3000] for r in docs.limit(20).collect()]
+    whole = pieces.Transducer(pieces.Model.load(pieces.MODEL))
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHED", 30)
+    monkeypatch.setattr(pieces, "AGREED", 40)
+    small = pieces.Transducer(pieces.Model.load(pieces.MODEL))
+    for t, ids in zip(texts, want, strict=True):
+        assert small.encode(t) == ids
+        assert len(small.words) <= 30 and len(small.agree) <= 40
