@@ -229,6 +229,12 @@ def compared(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y", "many").mapInArrow(run, "a bigint, b bigint, shared double, similar double, adds array<bigint>, lacks array<bigint>, pivot_n bigint")
 
 
+def _held(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """seqs of the pairs alone, so that the others aren't shuffled."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-ids")
+    return seqs.join(bounded_broadcast(ids, IDS_BROADCAST), "id", "left_semi")
+
+
 def meetings(known: DataFrame) -> DataFrame:
     """(kind, a, item, id, left): members of a pivot z that share a difference from z where any link has to.
 
@@ -296,7 +302,7 @@ def settled(rows: DataFrame, seqs: DataFrame) -> DataFrame | None:
         met = rows.join(used, ["bucket", "id"], "left").join(pivots, "bucket").filter((F.col("class") != F.col("class2")) & (F.col("used").isNull() | (F.col("id") < F.col("id2"))))
         met = met.filter(F.least("left", "left2") >= needed - 1e-6)
         met = materialise(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("class", "class2").alias("x"), F.greatest("class", "class2").alias("y")).distinct(), "dup-met")
-        linked = compared(met.select("a", "b", F.lit(False).alias("many")), seqs).filter(F.col("similar") >= SIMILAR).select("a", "b")
+        linked = compared(met.select("a", "b", F.lit(False).alias("many")), _held(met, seqs)).filter(F.col("similar") >= SIMILAR).select("a", "b")
         linked = materialise(met.join(linked, ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "dup-links")
         rows = rows.join(used, ["bucket", "id"], "left_anti")
         if not linked.isEmpty():

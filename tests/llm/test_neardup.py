@@ -116,3 +116,22 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {201: 201, 202: 201}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_take_only_the_texts_that_they_compare(spark, monkeypatch):
+    rnd = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words, few = [rnd.choice(vocabulary) for _ in range(120)], rnd.sample(vocabulary, 6)
+    rows = list(enumerate(edited(words, rnd.randrange(0, 9), rnd, few) for _ in range(45)))
+    calls = []
+
+    def told(pairs, seqs, compared=neardup.compared):
+        ids = {x for r in pairs.select("a", "b").collect() for x in r}
+        calls.append((ids, [r.id for r in seqs.select("id").collect()]))
+        return compared(pairs, seqs)
+
+    monkeypatch.setattr(neardup, "compared", told)
+    neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert len(calls) > 1
+    for ids, sent in calls:
+        assert sorted(sent) == sorted(ids)
