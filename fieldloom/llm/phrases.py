@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import LOWER, TextGroup, bounded_broadcast, mix, span_hashes, text_groups
-from fieldloom.session import materialise
+from fieldloom.session import bounded_batches, materialise
 
 WORDS = 5
 LEAST = 100
@@ -41,8 +41,9 @@ RANGES = 4096
 LANGS_BROADCAST = 100_000
 SPLITS = 8
 _PIECE = 1 << 20
-_CHUNK = 6 * _PIECE  # bytes of text that are counted at once
+_CHUNK = 4 * _PIECE  # bytes of text that are counted at once
 _HELD = 1 << 20  # rows that a task holds back to combine them
+_ROWS = 1 << 16  # rows of a batch that a task passes on
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 _GAP = _BREAK.copy()
@@ -118,8 +119,10 @@ def code_counts(docs: DataFrame, salt: int, code_bits: int = 64) -> DataFrame:
                 order = np.argsort(code, kind="stable")
                 code, text, other = code[order], text[order], other[order]
                 at, n = _sorted_runs(np.arange(len(code)), (code[1:] != code[:-1]) | (other[1:] != other[:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[at].view(np.int64)), pa.array(langs[text[at]]), pa.array(n, pa.int64()), pa.array(other[at].view(np.int64))], ["code", "lang_code", "n", "other"]
+                yield from _slices(
+                    pa.RecordBatch.from_arrays(
+                        [pa.array(code[at].view(np.int64)), pa.array(langs[text[at]]), pa.array(n, pa.int64()), pa.array(other[at].view(np.int64))], ["code", "lang_code", "n", "other"]
+                    )
                 )
 
     rows = docs.mapInArrow(counted, "code bigint, lang_code bigint, n bigint, other bigint")
@@ -221,7 +224,7 @@ def frequent_digests(docs: DataFrame, salt: int, filters: list[Broadcast], least
                 *_, keys = _windows(code, begins, filters, n)
                 digest = np.sort(digest_of(keys).view(np.int64))
                 at, count = _sorted_runs(digest, digest[1:] != digest[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.astype(np.int32))], ["digest", "n"])
+                yield from _slices(pa.RecordBatch.from_arrays([pa.array(at), pa.array(count.astype(np.int32))], ["digest", "n"]))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -254,10 +257,10 @@ def phrase_counts(docs: DataFrame, salt: int, filters: list[Broadcast], longest:
                     held = [_combined(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     rows = len(held[0][0])
                     if rows > _HELD // 2:
-                        yield _rows(*held[0])
+                        yield from _slices(_rows(*held[0]))
                         held, rows = [], 0
         if held:
-            yield _rows(*_combined(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield from _slices(_rows(*_combined(*(np.concatenate(x) for x in zip(*held, strict=True)))))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64), np.zeros((0, longest), np.uint64), np.zeros(0, np.int64)
@@ -277,6 +280,12 @@ def _rows(digest: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), _binary(keys), pa.array(n)], ["digest", "key", "n"])
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts: the JVM holds one of them at a time."""
+    for i in range(0, b.num_rows, _ROWS):
+        yield b.slice(i, _ROWS)
+
+
 def _first_byte(column: pa.Array) -> int:
     return int(np.frombuffer(column.buffers()[1], np.int32, 1, column.offset * 4)[0]) if len(column) else 0
 
@@ -286,10 +295,13 @@ def _combined(digest: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.n
     if not len(digest):
         return digest, keys, n
     order = np.argsort(digest, kind="stable")
-    if ((digest[order][1:] == digest[order][:-1]) & (keys[order][1:] != keys[order][:-1]).any(1)).any():
-        order = np.lexsort((*keys.T, digest))
     digest, keys, n = digest[order], keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    differs = (keys[1:] != keys[:-1]).any(1)
+    if ((digest[1:] == digest[:-1]) & differs).any():
+        order = np.lexsort((*keys.T, digest))
+        digest, keys, n = digest[order], keys[order], n[order]
+        differs = (keys[1:] != keys[:-1]).any(1)
+    first = np.flatnonzero(np.concatenate([[True], differs]))
     return digest[first], keys[first], np.add.reduceat(n, first)
 
 
@@ -311,6 +323,7 @@ def score_of(a: str, n: str, left: str, right: str) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = WORDS, first: int = FIRST, code_bits: int = 64) -> DataFrame:
     """The first phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     salt = 0
     while True:

@@ -93,3 +93,17 @@ def test_query_equals_its_sql(spark):
 
 def test_empty(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_tasks_pass_on_rows_in_parts_and_batches_are_bounded(spark):
+    """Nothing is lost between the parts, in order; equal keys are added up, those of one digest apart."""
+    n = 3 * phrases._ROWS // 2
+    keys = np.arange(2 * n, dtype=np.uint64).reshape(n, 2)
+    parts = list(phrases._slices(phrases._rows(np.arange(n, dtype=np.uint64), keys, np.ones(n, np.int64))))
+    assert [p.num_rows for p in parts] == [phrases._ROWS, n - phrases._ROWS]
+    assert [k for p in parts for k in p["digest"].to_pylist()] == list(range(n))
+    digest, own, count = phrases._combined(np.array([7, 3, 7, 7], np.uint64), np.array([[2, 1], [5, 5], [1, 9], [2, 1]], np.uint64), np.array([1, 2, 4, 8]))
+    assert (digest.tolist(), own.tolist(), count.tolist()) == ([3, 7, 7], [[5, 5], [2, 1], [1, 9]], [2, 9, 4])
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    phrases.collocations(spark.createDataFrame([(1, "a b", "en")], SCHEMA), 1)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b") == str(phrases._CHUNK)
