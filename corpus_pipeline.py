@@ -12,33 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import mixing, neardup, pieces, quality, secrets
-from fieldloom.session import materialise, table
+from fieldloom.session import bounded_batches, materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the adaptive thresholds of their language and source."""
+    bounded_batches(spark)
     return quality.kept_documents(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    bounded_batches(spark)
     return neardup.one_of_each(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts."""
+    bounded_batches(spark)
     return secrets.redacted(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents: repeated ones as repeated rows, cut ones with the words that are taken."""
+    bounded_batches(spark)
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_ids, round_trip."""
+    bounded_batches(spark)
     return pieces.encoded(docs, keep=("source",))
 
 

@@ -3,11 +3,12 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from fieldloom.llm import neardup, pieces, quality, secrets
-from fieldloom.session import materialise
+from fieldloom.session import BATCH_BYTES, materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +62,18 @@ def test_pieces_decode_to_the_texts(steps):
     assert coded.filter("not round_trip").count() == 0
     back = Counter(r.text for r in pieces.decoded(coded).collect())
     assert back == Counter(k[1] for k in rows(steps[4]).elements())
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_bound_what_a_worker_is_given_at_once(spark, steps, stage):
+    """3000 texts of 4000 characters come in batches of a few megabytes, not at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage(spark, steps[0].limit(50), "")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = spark.range(3000).selectExpr("repeat('text', 1000) as text").coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 3000
+    assert max(r.size for r in got) < 1.5 * BATCH_BYTES
